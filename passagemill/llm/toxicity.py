@@ -1,7 +1,7 @@
 """Operator 8, toxicity.
 
-A bag is a run of eight words. The embeddings of its hashed byte n-grams (3 to 6, word
-edges included) are averaged and go through a linear softmax; both are trained together.
+A bag is a run of BAG words (one: the subwords of a word). The embeddings of its hashed
+byte n-grams (3 to 6, word edges included) are averaged and go through a linear softmax; both are trained together.
 Labels are per document, so training alternates: the bags of a toxic document that score
 highest are its toxic ones, all bags of clean documents are clean (the highest-scoring
 ones first). A document scores as its highest bag, so one phrase in a long text counts.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SIZES, BITS, BAG = range(3, 7), 18, 8
+SIZES, BITS, BAG = range(3, 7), 20, 1
 LOWEST = -50.0
 
 
@@ -47,14 +47,23 @@ class ToxicityModel:
     offset: float
     rate: float | None = None
 
-    def bags(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Text and logit of every bag."""
+    def bags(self, texts: list[bytes], strongest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Text and logit of every bag; ``strongest``: of its highest n-gram of each size in place of the mean."""
         docs, values = [np.zeros(0, np.int64)], [np.zeros(0)]
         for a, b in common.chunks(texts):
             buf, starts, doc = _bags(texts[a:b])
             if not len(starts):
                 continue
             total, count = np.zeros(len(buf), np.float32), np.zeros(len(buf), np.int32)
+            if strongest:  # one size alone may be another n-gram of the same bucket
+                z = np.zeros(len(starts))
+                for bucket, ok in common.byte_ngrams(buf, SIZES, BITS):
+                    total[:] = 0
+                    total[: len(ok)] = np.where(ok, self.logits[bucket], np.float32(0))
+                    z += np.maximum.reduceat(total, starts) / len(SIZES)
+                docs.append(doc + a)
+                values.append(z)
+                continue
             for bucket, ok in common.byte_ngrams(buf, SIZES, BITS):
                 total[: len(ok)] += np.where(ok, self.logits[bucket], np.float32(0))
                 count[: len(ok)] += ok
@@ -87,7 +96,7 @@ def _examples(texts: list[bytes], pick: list[np.ndarray]) -> list[tuple[np.ndarr
     return out
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> ToxicityModel:
+def train(rows: list[tuple[str, int]], rounds: int = 2, seed: int = 7) -> ToxicityModel:
     """rows: (text, 0 or 1)."""
     y = np.array([int(v) for _, v in rows], dtype=np.int64)
     if not len(y) or y.min() == y.max():
@@ -99,14 +108,14 @@ def train(rows: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Toxici
         grams = [b[ok] for b, ok in common.byte_ngrams(np.frombuffer(text, np.uint8), SIZES, BITS)]
         if grams:
             seen[label, np.unique(np.concatenate(grams))] += 1
-    n = np.bincount(y[fit], minlength=2)
-    rate = np.log((seen[1] + 0.1) / (n[1] + 0.2)) - np.log((seen[0] + 0.1) / (n[0] + 0.2))
-    model = ToxicityModel(np.where(seen.sum(axis=0) > 1, np.clip(rate, -1, 4), 0).astype(np.float32), 0.0, 1.0, 0.0)
+    share, both = y[fit].mean(), seen.sum(axis=0)
+    excess = ((seen[1] - share * both) / np.sqrt(share * (1 - share) * both + 1)).astype(np.float32)
+    model = ToxicityModel(excess, 0.0, 1.0, 0.0)
     rng = np.random.default_rng(seed)
     chosen = np.flatnonzero(fit)
     for step in range(rounds):
         own = [texts[i] for i in chosen]
-        doc, z = model.bags(own)
+        doc, z = model.bags(own, strongest=step == 0)
         order = np.argsort(doc, kind="stable")
         doc, z = doc[order], z[order]
         bounds = np.searchsorted(doc, np.arange(len(own) + 1))
@@ -116,7 +125,8 @@ def train(rows: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Toxici
             if not len(part):
                 ranks = np.zeros(0, np.int64)
             elif y[i]:
-                ranks = np.argsort(-part, kind="stable")[: 1 if step else 2]
+                top = np.argsort(-part, kind="stable")[:4]
+                ranks = top[(part[top] >= 0.5 * part[top[0]]) | (np.arange(len(top)) < 1)] if not step else top[(part[top] > 0) | (np.arange(len(top)) < 1)]
             else:
                 ranks = np.unique(np.r_[np.argsort(-part, kind="stable")[:3], rng.integers(0, len(part), 2)])
             pick.append(ranks)
