@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, packing, quality, toxicity, windows
+from . import common, langid, licences, mixing, packing, quality, rules, toxicity, windows
 
 
 def _held(docs: DataFrame, mod: int, rest: int) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held(told, 3, 1).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +42,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.spans(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").where(common.crc_mod(4) != 2)
@@ -45,15 +54,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held(toxicity.score(docs, model), 4, 2).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels").where(common.crc_mod(5) != 0)
+    return rules.judge(docs, rules.fit(docs, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_licence_scan": op3_licence_scan,
     "op4_cost_balanced_packing": op4_cost_balanced_packing,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op8_toxicity": op8_toxicity,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_licence_scan": licences.oracle_sql(),
     "op6_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(words) - 11)) AS i)),
