@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, licences, mixing, packing, quality, rules, toxicity, windows
+from . import common, langid, licences, minhash, mixing, packing, quality, rules, toxicity, vectors, windows
 
 
 def _held(docs: DataFrame, mod: int, rest: int) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held(told, 3, 1).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(common.table(spark, sf_dir, "embeddings"))
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,6 +58,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held(toxicity.score(docs, model), 4, 2).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(common.table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").where(common.crc_mod(5) != 0)
@@ -62,16 +70,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_licence_scan": op3_licence_scan,
     "op4_cost_balanced_packing": op4_cost_balanced_packing,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": vectors.ORACLE_SQL,
     "op3_licence_scan": licences.oracle_sql(),
     "op6_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
