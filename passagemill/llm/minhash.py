@@ -35,10 +35,11 @@ PART = 1024
 
 def shingles(text: bytes | None, size: int = 5, weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes and their weights."""
-    words = (text or b"").split()
-    h = windows.window_hash(windows.word_hashes(words)[0], size, windows._ODD1) if len(words) >= size else np.zeros(0, np.uint64)
-    values, counts = np.unique(h, return_counts=True)
-    return values, counts.astype(np.float64) if weights == "count" else np.ones(len(values))
+    h = windows.window_hash(windows.hash_words(text or b"")[1], size, windows._ODD1)
+    h = np.sort(h)
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    counts = np.diff(np.r_[first, len(h)]).astype(np.float64)
+    return h[first], counts if weights == "count" else np.ones(len(first))
 
 
 def darts(values: np.ndarray, weights: np.ndarray, k: int = K, seed: int = 1) -> np.ndarray:
@@ -56,36 +57,25 @@ def darts(values: np.ndarray, weights: np.ndarray, k: int = K, seed: int = 1) ->
     base = windows._mix(values[element] + windows._mix(piece.astype(np.uint64) + np.uint64(seed << 20)))
     room = weights[element] - piece
     reach = (k * math.log(k) + 2 * k) / total
-    rank = np.zeros(len(base))
-    live, turn = np.arange(len(base)), 0
+    rank, thrown = np.zeros(len(base)), np.zeros(len(base), np.uint64)
     best, name = np.full(k, np.inf), np.zeros(k, np.uint64)
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    ids, waiting = np.arange(len(base)), []  # waiting: darts beyond the reach so far
     while True:
-        while len(live):
-            turn += 1
-            h = windows._mix(base[live] ^ windows._mix(np.uint64(turn) * np.uint64(0xD6E8FEB86659FD93)))
-            rank[live] -= np.log((windows._mix(h ^ np.uint64(0xA5A5)).astype(np.float64) + 1) / 18446744073709551617.0)
-            over = rank[live] > reach
-            if over.any():
-                waiting.append((live[over], h[over]))
-            inside = live[~over]
-            _land(inside, h[~over], rank, room, best, name, k)
-            live = inside
+        while len(ids):
+            thrown[ids] += np.uint64(1)
+            h = windows._mix(base[ids] ^ windows._mix(thrown[ids] * np.uint64(0xD6E8FEB86659FD93)))
+            rank[ids] -= np.log((windows._mix(h ^ np.uint64(0xA5A5)).astype(np.float64) + 1) / 18446744073709551617.0)
+            over = rank[ids] > reach
+            waiting.append((ids[over], h[over]))
+            _land(ids[~over], h[~over], rank, room, best, name, k)
+            ids = ids[~over]
         if np.isfinite(best).all():
             return name
-        # some coordinate has no dart yet: throw on, up to twice the rank
-        reach *= 2
-        again = waiting
-        waiting, fresh = [], []
-        for ids, h in again:
-            ok = rank[ids] <= reach
-            if ok.any():
-                _land(ids[ok], h[ok], rank, room, best, name, k)
-                fresh.append(ids[ok])
-            if not ok.all():
-                waiting.append((ids[~ok], h[~ok]))
-        live = np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
-        turn += 0 if len(live) else 1
+        reach *= 2  # some coordinate has no dart yet
+        held, h = (np.concatenate(x) for x in zip(*waiting))
+        ok = rank[held] <= reach
+        _land(held[ok], h[ok], rank, room, best, name, k)
+        ids, waiting = held[ok], [(held[~ok], h[~ok])]
 
 
 def _land(ids, h, rank, room, best, name, k) -> None:
