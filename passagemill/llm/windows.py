@@ -2,11 +2,10 @@
 
 Documents are dealt to blocks of a few MB in doc_id order. Each block is a batch: its
 distinct window fingerprints form one immutable sorted run per bucket of the hash space.
-A bucket takes the runs in block order, merge-joins each with the history (a few sorted
-levels of growing size, compacted whenever two are of like size) and answers with one
-bit per fingerprint: seen before, or shared with a later block. Only windows so marked
-are verified, by 128-bit fingerprints of their words; then the blocks remove what is
-covered. So a hot passage costs a bucket one entry a block, whatever its copies, and no
+A bucket merge-joins its runs, and those of the history, in block order and answers with
+one bit per fingerprint: held by another block. Only windows so marked are verified, by
+128-bit fingerprints of their words that the same merge gives to the first block; then
+the blocks remove what is covered. So a hot passage costs a bucket one entry a block, whatever its copies, and no
 task holds more than one block or one bucket.
 
 ``index_runs`` and ``compact`` make the runs of earlier calls, to be kept as Parquet; given
@@ -26,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +41,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every word."""
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64)
-    return both[0::2], both[1::2]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASES = (np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC3A5C85C97CB3127))
+_VALUES = [_mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1000 * (k + 1))) for k in range(2)]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n of a base and of its inverse modulo 2^64."""
+    if k not in _POWERS or len(_POWERS[k][0]) <= n:
+        base = _BASES[k]
+        up, down = np.full(n + 1, base), np.full(n + 1, np.uint64(pow(int(base), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        _POWERS[k] = np.cumprod(up), np.cumprod(down)
+    return _POWERS[k]
+
+
+def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes of the words of ``text``, and two independent 64-bit hashes of each.
+
+    A hash is a polynomial of tabled byte values; differences of running sums give it for all words at once.
+    """
+    x = np.frombuffer(text, np.uint8)
+    space = np.concatenate([[True], _SPACE[x], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    out = []
+    for k in range(2):
+        up, down = _powers(k, len(x))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[k][x] * up[: len(x)])])
+        out.append(_mix((sums[ends] - sums[starts]) * down[starts]))
+    return starts, out[0], out[1]
 
 
 def window_hash(h: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
@@ -67,10 +92,15 @@ class Block:
         ids, keyed, texts = frame["doc_id"].to_numpy(np.int64), frame["keyed"].to_numpy(bool), frame["text"].tolist()
         rows = np.lexsort((ids, ~keyed))
         self.ids = [int(ids[i]) if keyed[i] else None for i in rows]
-        self.words = [(texts[i] or b"").split() for i in rows]
-        counts = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.texts = [texts[i] or b"" for i in rows]
+        counts, hashes = np.zeros(len(rows), np.int64), [(np.zeros(0, np.uint64),) * 2]
+        for a, b in common.chunks(self.texts):
+            starts, h1, h2 = hash_words(b"\n".join(self.texts[a:b]))
+            ends = np.cumsum([len(t) + 1 for t in self.texts[a:b]])
+            counts[a:b] = np.bincount(np.searchsorted(ends, starts, side="right"), minlength=b - a)
+            hashes.append((h1, h2))
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        h1, h2 = word_hashes([w for ws in self.words for w in ws])
+        h1, h2 = (np.concatenate(h) for h in zip(*hashes))
         n = max(0, len(h1) - size + 1)
         doc = np.repeat(np.arange(len(rows)), counts)
         inside = (doc[:n] == doc[len(doc) - n :]) & keyed[rows][doc[:n]] if n else np.zeros(0, bool)
@@ -89,7 +119,8 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _runs(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """The sorted distinct 64-bit fingerprints of each bucket (a bucket is a range of hashes)."""
-    h = np.unique(h)
+    h = np.sort(h)
+    h = h[np.r_[True, h[1:] != h[:-1]][: len(h)]]
     cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
     for k in range(buckets):
         if cut[k] < cut[k + 1]:
@@ -101,47 +132,26 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (_mix(h) >> np.uint64(32)).astype("<u4")
 
 
-class Levels:
-    """Sorted runs of distinct values, newest last; compacted like a binary counter."""
-
-    def __init__(self, runs=()):
-        self.runs: list[np.ndarray] = [r for r in runs if len(r)]
-
-    def holds(self, values: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(values), dtype=bool)
-        for run in self.runs:
-            at = np.searchsorted(run, values)
-            found |= run[np.minimum(at, len(run) - 1)] == values
-        return found
-
-    def add(self, run: np.ndarray) -> None:
-        if not len(run):
-            return
-        self.runs.append(run)
-        while len(self.runs) > 1 and len(self.runs[-2]) < 2 * len(self.runs[-1]):
-            new = self.runs.pop()
-            self.runs[-1] = np.union1d(self.runs[-1], new)
-
-    def compacted(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.runs)) if self.runs else np.zeros(0, np.uint64)
-
-
 def _answers(frame: pd.DataFrame) -> pd.DataFrame:
-    """Filter step of one bucket: two bits a fingerprint, seen in an earlier block or in any other one."""
+    """Filter step of one bucket: a bit a fingerprint, held by any other block (or the history).
+
+    All runs of the bucket are merged in one sort; blocks below 0 are history.
+    """
     frame = frame.sort_values("block", kind="stable")
     runs = [np.frombuffer(r, "<u4") for r in frame["run"]]
-    levels, before = Levels(), []
-    for run in runs:
-        values = np.unique(run)
-        before.append(levels.holds(run))
-        levels.add(values)
-    levels, after = Levels(), []
-    for run in reversed(runs):
-        values = np.unique(run)
-        after.append(levels.holds(run))
-        levels.add(values)
-    after.reverse()
-    rows = [(b, k, np.packbits(x | y).tobytes()) for b, k, x, y in zip(frame["block"], frame["bucket"], before, after, strict=True) if b >= 0]
+    cut = np.cumsum([0, *map(len, runs)])
+    block = np.repeat(frame["block"].to_numpy(np.int64), np.diff(cut))
+    every = np.concatenate(runs)
+    order = np.argsort(every, kind="stable")  # equal values stay in block order
+    values, owner = every[order], block[order]
+    other = (values[1:] == values[:-1]) & (owner[1:] != owner[:-1])
+    new = np.r_[True, values[1:] != values[:-1]]
+    group = np.cumsum(new) - 1
+    mixed = np.zeros(group[-1] + 1, dtype=bool)
+    mixed[group[1:][other]] = True
+    shared = np.zeros(len(every), dtype=bool)
+    shared[order] = mixed[group]
+    rows = [(b, k, np.packbits(shared[cut[i] : cut[i + 1]]).tobytes()) for i, (b, k) in enumerate(zip(frame["block"], frame["bucket"], strict=True)) if b >= 0]
     return pd.DataFrame(rows, columns=["block", "bucket", "bits"])
 
 
@@ -152,6 +162,14 @@ def _pairs(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Sorted distinct 128-bit fingerprints."""
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])][: len(h)]
+    return _pairs(h[new], c[new])
+
+
 def _first_blocks(frame: pd.DataFrame) -> pd.DataFrame:
     """Verification of one bucket: a bit a 128-bit fingerprint, held by an earlier block (or the history)."""
     frame = frame.sort_values("block", kind="stable")
@@ -181,11 +199,7 @@ def _shared(block: Block, answers: pd.DataFrame, buckets: int) -> list[tuple[int
         return []
     spot = np.minimum(np.searchsorted(hashes, block.hash), len(hashes) - 1)
     at = np.flatnonzero(hashes[spot] == block.hash)
-    h, c = block.hash[at], block.check[at]
-    order = np.lexsort((c, h))
-    h, c = h[order], c[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-    pairs = _pairs(h[new], c[new])
+    pairs = _distinct(block.hash[at], block.check[at])
     cut = np.searchsorted(_bucket(pairs["h"], buckets), np.arange(buckets + 1))
     return [(k, pairs[cut[k] : cut[k + 1]]) for k in range(buckets) if cut[k] < cut[k + 1]]
 
@@ -279,8 +293,8 @@ def remove_repeats(docs: DataFrame, size: int = 13, history: DataFrame | None =
         outside = _marked(shared, answers[answers["step"] == 1]) if shared else np.zeros(0)
         gone = _covered(block, outside, size)
         rows = []
-        for i, words in enumerate(block.words):
-            part = gone[block.first[i] : block.first[i + 1]]
+        for i, text in enumerate(block.texts):
+            words, part = text.split(), gone[block.first[i] : block.first[i + 1]]
             kept = b" ".join([w for w, g in zip(words, part.tolist(), strict=True) if not g] if part.any() else words)
             rows.append((block.ids[i], len(words), int(part.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if texts else [])))
         out = pd.DataFrame(rows, columns=names)
@@ -300,7 +314,7 @@ def index_runs(docs: DataFrame, size: int = 13) -> DataFrame:
 
     def runs(frame: pd.DataFrame) -> pd.DataFrame:
         block = Block(frame, size)
-        pairs = np.unique(_pairs(block.hash, block.check))
+        pairs = _distinct(block.hash, block.check)
         cut = np.searchsorted(_bucket(pairs["h"], 256), np.arange(257))
         return pd.DataFrame([(k, pairs[cut[k] : cut[k + 1]].tobytes()) for k in range(256) if cut[k] < cut[k + 1]], columns=["bucket", "run"])
 
@@ -311,7 +325,8 @@ def compact(runs: DataFrame) -> DataFrame:
     """Merges all runs of each bucket into one sorted run of distinct fingerprints."""
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        every = np.unique(np.concatenate([np.frombuffer(r, [("h", "<u8"), ("c", "<u8")]) for r in frame["run"]]))
+        every = np.concatenate([np.frombuffer(r, [("h", "<u8"), ("c", "<u8")]) for r in frame["run"]])
+        every = _distinct(every["h"], every["c"])
         return pd.DataFrame([(int(frame["bucket"].iloc[0]), every.tobytes())], columns=["bucket", "run"])
 
     return runs.groupBy("bucket").applyInPandas(merge, "bucket int, run binary")
