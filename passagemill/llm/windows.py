@@ -25,13 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 BLOCK_BYTES = 4 << 20
 ANSWER = "block long, bucket int, bits binary"
+RUN = "block long, bucket int, run binary"
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -88,9 +91,10 @@ def window_hash(h: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
 class Block:
     """The words and windows of a few documents, in doc_id order."""
 
-    def __init__(self, frame: pd.DataFrame, size: int):
-        ids, keyed, texts = frame["doc_id"].to_numpy(np.int64), frame["keyed"].to_numpy(bool), frame["text"].tolist()
-        rows = np.lexsort((ids, ~keyed))
+    def __init__(self, table: pa.Table, size: int):
+        ids, keyed, texts = table["doc_id"].to_numpy(), table["keyed"].to_numpy().astype(bool), table["text"].to_pylist()
+        #: the table's rows in the block's order
+        self.rows = rows = np.lexsort((ids, ~keyed))
         self.ids = [int(ids[i]) if keyed[i] else None for i in rows]
         self.texts = [texts[i] or b"" for i in rows]
         counts, hashes = np.zeros(len(rows), np.int64), [(np.zeros(0, np.uint64),) * 2]
@@ -232,10 +236,16 @@ def _covered(block: Block, outside: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(covered)[:-1] > 0
 
 
-def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
+def _run_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    block, bucket, run = zip(*rows) if rows else ((), (), ())
+    return pa.table({"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "run": pa.array(run, pa.binary())})
+
+
+def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] = ()) -> tuple[DataFrame, int, int]:
     """Documents with a block number that never falls as doc_id grows; the numbers of blocks and of buckets.
 
-    Only a few thousand quantiles of doc_id reach the driver, whatever the rows.
+    Only a few thousand quantiles of doc_id reach the driver, whatever the rows. carry: columns
+    that go along as the struct ``row``.
     """
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
@@ -249,60 +259,86 @@ def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, in
         return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="left").astype(np.int64))
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    dealt = docs.select(number(key).alias("block"), key.alias("doc_id"), F.col("doc_id").isNotNull().alias("keyed"), F.col("text").cast("binary").alias("text")).repartition(parts, "block")
+    dealt = docs.select(number(key).alias("block"), key.alias("doc_id"), F.col("doc_id").isNotNull().alias("keyed"), F.col("text").cast("binary").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    dealt = dealt.repartition(parts, "block")
     return dealt, blocks, int(min(max(parts, -(-total // (32 << 20))), 4096))
 
 
-def mark(docs: DataFrame, size: int = 13, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+def mark(docs: DataFrame, size: int = 13, history: DataFrame | None = None, carry: list[str] = ()) -> tuple[DataFrame, DataFrame, int]:
     """(dealt documents, verified answers, buckets): the answers name windows that an earlier block holds."""
-    dealt, _, buckets = deal(docs)
+    dealt, _, buckets = deal(docs, carry=carry)
 
-    def runs(frame: pd.DataFrame) -> pd.DataFrame:
-        block = Block(frame, size)
-        number = int(frame["block"].iloc[0])
-        return pd.DataFrame([(number, k, _short(r).tobytes()) for k, r in _runs(block.hash, buckets)], columns=["block", "bucket", "run"])
+    def runs(key, table):
+        return _run_table([(key[0].as_py(), k, _short(r).tobytes()) for k, r in _runs(Block(table, size).hash, buckets)])
 
-    filters = dealt.groupBy("block").applyInPandas(runs, "block long, bucket int, run binary")
+    filters = dealt.groupBy("block").applyInArrow(runs, RUN)
     if history is not None:
         filters = filters.union(_history_runs(history, buckets, short=True))
     likely = filters.groupBy("bucket").applyInPandas(_answers, ANSWER)
 
-    def exact(key, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame([], columns=["block", "bucket", "run"])
-        block = Block(frame, size)
-        return pd.DataFrame([(key[0], k, r.tobytes()) for k, r in _shared(block, answers, buckets)], columns=["block", "bucket", "run"])
+    def exact(key, table, answers):
+        if not table.num_rows:
+            return _run_table([])
+        return _run_table([(key[0].as_py(), k, r.tobytes()) for k, r in _shared(Block(table, size), answers.to_pandas(), buckets)])
 
-    full = dealt.groupBy("block").cogroup(likely.groupBy("block")).applyInPandas(exact, "block long, bucket int, run binary")
+    full = dealt.groupBy("block").cogroup(likely.groupBy("block")).applyInArrow(exact, RUN)
     if history is not None:
         full = full.union(_history_runs(history, buckets, short=False))
     sizes = full.groupBy("bucket").applyInPandas(_first_blocks, ANSWER)
     return dealt, (likely.withColumn("step", F.lit(0)).union(sizes.withColumn("step", F.lit(1)))), buckets
 
 
-def remove_repeats(docs: DataFrame, size: int = 13, history: DataFrame | None = None, texts: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the kept words joined by a space)."""
-    dealt, answers, buckets = mark(docs, size, history)
+def _removals(docs: DataFrame, size: int, history: DataFrame | None, make, schema: T.StructType, carry: list[str] = ()) -> DataFrame:
+    """make(table, block, [(words, which are gone)]) of each block, in the block's order."""
+    dealt, answers, buckets = mark(docs, size, history, carry)
 
-    def apply(key, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else [])]
-        if not len(frame):
-            return pd.DataFrame([], columns=names)
-        block = Block(frame, size)
-        shared = _shared(block, answers[answers["step"] == 0], buckets)
-        outside = _marked(shared, answers[answers["step"] == 1]) if shared else np.zeros(0)
+    def apply(table, answers):
+        frame = answers.to_pandas()
+        block = Block(table, size)
+        shared = _shared(block, frame[frame["step"] == 0], buckets)
+        outside = _marked(shared, frame[frame["step"] == 1]) if shared else np.zeros(0)
         gone = _covered(block, outside, size)
-        rows = []
-        for i, text in enumerate(block.texts):
-            words, part = text.split(), gone[block.first[i] : block.first[i + 1]]
-            kept = b" ".join([w for w, g in zip(words, part.tolist(), strict=True) if not g] if part.any() else words)
-            rows.append((block.ids[i], len(words), int(part.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if texts else [])))
-        out = pd.DataFrame(rows, columns=names)
-        out["doc_id"] = pd.array(block.ids, dtype="Int64")
-        return out
+        return make(table, block, ((text.split(), gone[block.first[i] : block.first[i + 1]]) for i, text in enumerate(block.texts)))
+
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)
+
+
+def _kept(words: list[bytes], gone: np.ndarray) -> bytes:
+    return b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
+
+
+def remove_repeats(docs: DataFrame, size: int = 13, history: DataFrame | None = None) -> DataFrame:
+    """One row a document: doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by a space)."""
+
+    def digest(table: pa.Table, block: Block, texts) -> pa.Table:
+        rows = [(len(words), int(gone.sum()), hashlib.sha256(_kept(words, gone)).hexdigest()) for words, gone in texts]
+        n, removed, digests = zip(*rows) if rows else ((), (), ())
+        return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
+
+    columns = [("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
+    return _removals(docs, size, history, digest, T.StructType([T.StructField(*c) for c in columns]))
+
+
+def deduplicated(docs: DataFrame, size: int = 13, history: DataFrame | None = None) -> DataFrame:
+    """The documents without their repeated windows; columns as given.
+
+    A text that loses nothing stays as it is (so does a null); of others the kept words are
+    joined by spaces and n_chars, if there is one, follows. A text may become empty; its row stays.
+    """
+    carry = [c for c in docs.columns if c != "text"]
+
+    def rewrite(table: pa.Table, block: Block, texts) -> pa.Table:
+        new = [_kept(words, gone).decode("utf-8", "replace") if gone.any() else None for words, gone in texts]
+        order = pa.array(block.rows)
+        old = [t if t is None else t.decode("utf-8", "replace") for t in table["text"].take(order).to_pylist()]
+        return pa.table({"row": table["row"].take(order), "old": pa.array(old, pa.string()), "new": pa.array(new, pa.string())})
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(apply, schema)
+    row = T.StructField("row", T.StructType([docs.schema[c] for c in carry]))
+    out = _removals(docs, size, history, rewrite, T.StructType([row, T.StructField("old", T.StringType()), T.StructField("new", T.StringType())]), carry)
+    made = {"text": F.coalesce("new", "old")}
+    if "n_chars" in carry:
+        made["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select([(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 # --- the index that outlives a call -----------------------------------------------------------------
@@ -312,13 +348,13 @@ def index_runs(docs: DataFrame, size: int = 13) -> DataFrame:
     """(bucket, run): immutable sorted runs of the 128-bit window fingerprints of ``docs``, 256 buckets, to be written as Parquet."""
     dealt, _, _ = deal(docs)
 
-    def runs(frame: pd.DataFrame) -> pd.DataFrame:
-        block = Block(frame, size)
+    def runs(table):
+        block = Block(table, size)
         pairs = _distinct(block.hash, block.check)
         cut = np.searchsorted(_bucket(pairs["h"], 256), np.arange(257))
-        return pd.DataFrame([(k, pairs[cut[k] : cut[k + 1]].tobytes()) for k in range(256) if cut[k] < cut[k + 1]], columns=["bucket", "run"])
+        return _run_table([(0, k, pairs[cut[k] : cut[k + 1]].tobytes()) for k in range(256) if cut[k] < cut[k + 1]]).select(["bucket", "run"])
 
-    return dealt.groupBy("block").applyInPandas(runs, "bucket int, run binary")
+    return dealt.groupBy("block").applyInArrow(runs, "bucket int, run binary")
 
 
 def compact(runs: DataFrame) -> DataFrame:
