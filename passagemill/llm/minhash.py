@@ -7,11 +7,12 @@ value, so a signature costs about n + k log k steps. Bands of signature values b
 candidates together; every link is verified by the exact similarity of the shingles.
 
 Equal texts are collapsed first. In each bucket all members are compared with its first
-member; then members of different classes in a bucket are compared by their signatures,
-and of those that may reach the threshold a spanning forest is verified (and, where one
-of its links fails, all that remain). So a large group costs its size, not its square,
-and no link between different texts is left out but by the chance of the signature.
-Large buckets are split by salt.
+member (a star), which joins most of a group at a cost of its size. Of the buckets that then
+still hold several classes, the pairs of different classes whose signatures allow the
+threshold are verified, each in the first band that it shares, likeliest first, until the
+bucket's classes are joined or all its pairs are tried; only links that join classes are
+emitted. So no link between different texts is left out but by the chance of the signature.
+Large buckets are split by salt, and pairs of parts go to different tasks.
 
 Edge cases: texts without a word, and null texts, stand alone; equal texts with a word
 are copies of each other, also under five words, where only copies link; repeated rows
@@ -21,149 +22,259 @@ and equal ids fall into one class; an empty table gives no row. Other columns ar
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, windows
 
 K, ROWS = 80, 4
-PART = 1024
+#: Documents, and shingles, of a part of a bucket: what a task holds is bounded by two parts.
+PART, PART_SHINGLES = 512, 500_000
+#: Pairs that are compared at once.
+PAIRS = 1 << 17
 
 
 def shingles(text: bytes | None, size: int = 5, weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes and their weights."""
-    h = windows.window_hash(windows.hash_words(text or b"")[1], size, windows._ODD1)
-    h = np.sort(h)
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-    counts = np.diff(np.r_[first, len(h)]).astype(np.float64)
-    return h[first], counts if weights == "count" else np.ones(len(first))
+    values, counts, cut = shingle_sets([text or b""], size, weights)
+    return values[: cut[1]], counts[: cut[1]]
+
+
+def shingle_sets(texts: list[bytes], size: int = 5, weights: str = "set") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of several texts, one after the other, and where each begins (and the last ends)."""
+    starts, h, _ = windows.hash_words(b"\n".join(texts))
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    grams = windows.window_hash(h, size, windows._ODD1)
+    own = doc[: len(grams)]
+    inside = own == doc[len(doc) - len(grams) :]
+    grams, own = grams[inside], own[inside]
+    order = np.lexsort((grams, own))
+    grams, own = grams[order], own[order]
+    first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])][: len(grams)])
+    counts = np.diff(np.r_[first, len(grams)]).astype(np.float64)
+    return grams[first], counts if weights == "count" else np.ones(len(first)), np.searchsorted(own[first], np.arange(len(texts) + 1))
 
 
 def darts(values: np.ndarray, weights: np.ndarray, k: int = K, seed: int = 1) -> np.ndarray:
-    """The k signature values (64-bit dart names) of a weighted set that is not empty.
+    """The k signature values (64-bit dart names) of a weighted set that is not empty."""
+    return dart_sets(values, weights, np.array([0, len(values)]), k, seed)[0]
+
+
+def dart_sets(values: np.ndarray, weights: np.ndarray, cut: np.ndarray, k: int = K, seed: int = 1) -> np.ndarray:
+    """A row of k signature values for each of the sets values[cut[i]:cut[i + 1]] (zeros for an empty one).
 
     Element i of weight w owns the strip [0, w] x [0, rank). Unit pieces of the strip have
     their own dart sequence: gaps are exponential, a dart's height in the piece is uniform,
     and the darts above w don't count. All of it hangs on the element only, so equal
-    regions of two sets hold the same darts.
+    regions of two sets hold the same darts. A set throws the darts up to a rank by which
+    every coordinate probably has one, and doubles it where one hasn't.
     """
-    total = float(weights.sum())
+    sets = len(cut) - 1
     pieces = np.ceil(weights).astype(np.int64)
     element = np.repeat(np.arange(len(values)), pieces)
     piece = np.arange(len(element)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    own = np.repeat(np.arange(sets), np.diff(cut))[element]
     base = windows._mix(values[element] + windows._mix(piece.astype(np.uint64) + np.uint64(seed << 20)))
     room = weights[element] - piece
-    reach = (k * math.log(k) + 2 * k) / total
+    total = np.bincount(own, room.clip(max=1), minlength=sets)
+    reach = (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300)
     rank, thrown = np.zeros(len(base)), np.zeros(len(base), np.uint64)
-    best, name = np.full(k, np.inf), np.zeros(k, np.uint64)
-    ids, waiting = np.arange(len(base)), []  # waiting: darts beyond the reach so far
+    best, name = np.full(sets * k, np.inf), np.zeros(sets * k, np.uint64)
+    ids, held, names = np.arange(len(base)), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     while True:
         while len(ids):
             thrown[ids] += np.uint64(1)
             h = windows._mix(base[ids] ^ windows._mix(thrown[ids] * np.uint64(0xD6E8FEB86659FD93)))
             rank[ids] -= np.log((windows._mix(h ^ np.uint64(0xA5A5)).astype(np.float64) + 1) / 18446744073709551617.0)
-            over = rank[ids] > reach
-            waiting.append((ids[over], h[over]))
-            _land(ids[~over], h[~over], rank, room, best, name, k)
-            ids = ids[~over]
-        if np.isfinite(best).all():
-            return name
-        reach *= 2  # some coordinate has no dart yet
-        held, h = (np.concatenate(x) for x in zip(*waiting))
-        ok = rank[held] <= reach
-        _land(held[ok], h[ok], rank, room, best, name, k)
-        ids, waiting = held[ok], [(held[~ok], h[~ok])]
-
-
-def _land(ids, h, rank, room, best, name, k) -> None:
-    if not len(ids):
-        return
-    height = (h >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
-    ok = height <= room[ids]
-    at, r, h = (windows._mix(h + np.uint64(7)) % np.uint64(k)).astype(np.int64)[ok], rank[ids][ok], h[ok]
-    order = np.lexsort((h, -r))  # the earliest is written last
-    at, r, h = at[order], r[order], h[order]
-    low = np.full(k, np.inf)
-    low[at] = r
-    new = np.zeros(k, np.uint64)
-    new[at] = h
-    better = low < best
-    best[better], name[better] = low[better], new[better]
+            over = rank[ids] > reach[own[ids]]
+            held, names = np.concatenate([held, ids[over]]), np.concatenate([names, h[over]])
+            ids, h = ids[~over], h[~over]
+            _land(ids, h, own, rank, room, best, name, k)
+        short = ~np.isfinite(best.reshape(sets, k)).all(axis=1) & (total > 0)
+        if not short.any():
+            return name.reshape(sets, k)
+        reach[short] *= 2
+        again = short[own[held]]
+        held, names = held[again], names[again]
+        near = rank[held] <= reach[own[held]]
+        ids, h = held[near], names[near]
+        held, names = held[~near], names[~near]
+        _land(ids, h, own, rank, room, best, name, k)
+
+
+def _land(ids, h, own, rank, room, best, name, k) -> None:
+    """Keeps the earliest dart of each coordinate of each set."""
+    ok = (h >> np.uint64(11)).astype(np.float64) / 9007199254740992.0 <= room[ids]
+    ids, h = ids[ok], h[ok]
+    slot = own[ids] * k + (windows._mix(h + np.uint64(7)) % np.uint64(k)).astype(np.int64)
+    r = rank[ids]
+    np.minimum.at(best, slot, r)
+    won = best[slot] == r
+    name[slot[won]] = h[won]
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted sets."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    both = np.minimum(wa[i], wb[j]).sum()
-    return float(both / (wa.sum() + wb.sum() - both)) if len(a) and len(b) else 0.0
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    hit = b[at] == a
+    both = np.minimum(wa[hit], wb[at[hit]]).sum()
+    return float(both / (wa.sum() + wb.sum() - both))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, ok) of each pair, by exact similarity."""
-    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("w").alias("wb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("w").alias("wa")), "a")
+def _least(threshold: float, k: int) -> int:
+    """Equal signature values that a pair at the threshold has but for a vanishing probability."""
+    return max(1, math.floor(k * threshold - 4.5 * math.sqrt(k * threshold * (1 - threshold))))
 
-    def measure(batches):
-        for f in batches:
-            ok = [similarity(np.frombuffer(va, np.uint64), np.frombuffer(wa, np.float32).astype(float), np.frombuffer(vb, np.uint64), np.frombuffer(wb, np.float32).astype(float)) >= threshold for va, wa, vb, wb in zip(f["va"], f["wa"], f["vb"], f["wb"], strict=True)]
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "ok": ok})
 
-    return joined.select("a", "b", "va", "wa", "vb", "wb").mapInPandas(measure, "a long, b long, ok boolean")
+def _sets_of(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(v, np.uint64), np.frombuffer(w, np.float32).astype(float)) for v, w in zip(frame["v"], frame["w"], strict=True)]
+
 
+def _stars(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs (a, b) that are links: first by signature, then by exact similarity."""
+    least = _least(threshold, k)
 
-def _across(members: DataFrame, classes: DataFrame, tried: DataFrame | None, threshold: float, k: int, forest: bool) -> DataFrame:
-    """Pairs of one bucket and different classes whose signatures allow the threshold: a spanning forest over classes, or all."""
-    m = members.join(classes.select(F.col("id").alias("rep"), F.col("component").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    mixed = m.groupBy("band", "h").agg(F.count("*").alias("m"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "h", "m")
-    m = m.join(mixed, ["band", "h"])
-    m = m.withColumn("parts", F.ceil(F.col("m") / PART)).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    def likely(batches):
+        for f in batches:
+            if len(f):
+                x, y = (np.frombuffer(b"".join(f[c]), np.uint16).reshape(len(f), k) for c in ("sig", "sig2"))
+                size = np.minimum(f["n"], f["n2"]) >= threshold * np.maximum(f["n"], f["n2"]) - 1e-9
+                yield f.loc[((x == y).sum(axis=1) >= least) & size.to_numpy(), ["a", "b"]]
+
+    signed = reps.select(F.col("rep").alias("a"), "n", "sig")
+    other = signed.toDF("b", "n2", "sig2")
+    pairs = pairs.join(signed, "a").join(other, "b").select("a", "b", "n", "n2", "sig", "sig2").mapInPandas(likely, "a long, b long")
+    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("w").alias("wb")), "b").join(sets.withColumnRenamed("rep", "a"), "a")
+
+    def exact(batches):
+        for f in batches:
+            one, two = _sets_of(f), _sets_of(f[["vb", "wb"]].set_axis(["v", "w"], axis=1))
+            yield f.loc[[similarity(*x, *y) >= threshold for x, y in zip(one, two, strict=True)], ["a", "b"]]
+
+    return joined.select("a", "b", "v", "w", "vb", "wb").mapInPandas(exact, "a long, b long")
+
+
+def _first_shared(x: np.ndarray, y: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The first band in which signature rows agree (value r of band t stands at r * bands + t)."""
+    return (x == y)[:, : bands * rows].reshape(len(x), rows, bands).all(axis=1).argmax(axis=1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: list[str], most: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by ``key``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < most:
+            continue
+        table = pa.Table.from_batches(held)
+        last, same = size - 1, np.ones(size, dtype=bool)
+        for c in key:
+            values = table[c].to_numpy()
+            same &= values == values[last]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            size -= cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_within(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (p, q), p of ``left`` and q > p or of ``right`` only, that share a group (ascending), in runs of about PAIRS."""
+    ends = np.searchsorted(group, group, side="right")
+    begins = np.searchsorted(group, group, side="left")
+    p = np.flatnonzero(left)
+    counts = ends[p] - begins[p]
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    at = 0
+    while at < len(p):
+        stop = max(at + 1, int(np.searchsorted(sums, sums[at] + PAIRS, side="right")) - 1)
+        part, n = p[at:stop], counts[at:stop]
+        a = np.repeat(part, n)
+        b = np.repeat(begins[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ok = right[b] & (~left[b] | ~right[a] | (b > a))
+        yield a[ok], b[ok]
+        at = stop
+
+
+_KEY = ["band", "h", "i", "j"]
+_MEMBER = "band int, h long, i long, j long, salt long, rep long, class long, n long, sig binary"
+
+
+def _across(members: DataFrame, reps: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, k: int, rows: int) -> DataFrame:
+    """Links (a, b) between different classes that share a bucket: enough of them to join all that are linked."""
+    m = members.join(found.select(F.col("id").alias("rep"), F.col("component").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    m = m.join(reps.select("rep", "n"), "rep").select("band", "h", "rep", "class", "n")
+    share = F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)
+    mixed = m.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.ceil(share).alias("parts")).where("lo <> hi").select("band", "h", "parts")
+    m = m.join(mixed, ["band", "h"]).join(reps.select("rep", "sig"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    m = m.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).select("band", "h", "i", "j", "salt", "rep", "class", "n", "sig")
-    least = max(1, math.floor(k * threshold - 4.5 * math.sqrt(k * threshold * (1 - threshold))))
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep", kind="stable")
-        ids, own, n, salt = (frame[c].to_numpy() for c in ("rep", "class", "n", "salt"))
-        sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), k)
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        right = np.flatnonzero(salt == j)
-        out = [np.zeros((0, 3), np.int64)]
-        for p in np.flatnonzero(salt == i):
-            q = right[(own[right] != own[p]) & (np.minimum(n[right], n[p]) >= threshold * np.maximum(n[right], n[p]) - 1e-9)]
-            if i == j:
-                q = q[q > p]
-            if not len(q):
-                continue
-            equal = (sig[q] == sig[p]).sum(axis=1)
-            hit = np.flatnonzero(equal >= least)
-            if forest and len(hit):  # the likeliest member of each other class
-                hit = hit[np.lexsort((-equal[hit], own[q[hit]]))]
-                hit = hit[np.r_[True, own[q[hit]][1:] != own[q[hit]][:-1]]]
-            out.append(np.stack([np.full(len(hit), p), q[hit], equal[hit]], axis=1))
-        found = np.concatenate(out)
-        if forest:
-            found = found[np.argsort(-found[:, 2], kind="stable")]
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
+    m = m.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).select(*_KEY, "salt", "rep", "class", "n", "sig")
+    least, bands = _least(threshold, k), k // rows
+
+    def pairs_of(table: pa.Table):
+        """The group of each row, and (p, q, equal values) of the pairs to verify, from the rows of whole groups."""
+        cols = [table[c].to_numpy() for c in _KEY]
+        group = np.cumsum(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+        salt, own, n = (table[c].to_numpy() for c in ("salt", "class", "n"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(n), k)
+        out = [(np.zeros(0, np.int64),) * 3]
+        for p, q in _pairs_within(group, salt == cols[2], salt == cols[3]):
+            ok = (own[p] != own[q]) & (np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]) - 1e-9)
+            p, q = p[ok], q[ok]
+            equal = (sig[p] == sig[q]).sum(axis=1)
+            ok = equal >= least
+            p, q, equal = p[ok], q[ok], equal[ok]
+            ok = _first_shared(sig[p], sig[q], bands, rows) == cols[0][p]
+            out.append((p[ok], q[ok], equal[ok]))
+        return group, *(np.concatenate(x) for x in zip(*out))
+
+    def partners(batches):
+        for table in _runs(batches, _KEY):
+            _, p, q, _ = pairs_of(table)
+            if len(p):
+                yield from table.take(pa.array(np.unique(np.concatenate([p, q])))).to_batches()
+
+    def verify(batches):
+        for table in _runs(batches, _KEY, 2_000):
+            group, p, q, equal = pairs_of(table)
+            ids, own, v, w = table["rep"].to_numpy(), table["class"].to_numpy(), table["v"], table["w"]
+            parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def root(x: tuple[int, int]) -> tuple[int, int]:
                 while parent.get(x, x) != x:
                     x = parent[x]
                 return x
 
-            keep = []
-            for t, (p, q, _) in enumerate(found):
-                a, b = root(int(own[p])), root(int(own[q]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    keep.append(t)
-            found = found[keep]
-        a, b = ids[found[:, 0]], ids[found[:, 1]]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+            edges = []
+            for t in np.argsort(-equal, kind="stable"):
+                a, b = int(p[t]), int(q[t])
+                x, y = root((int(group[a]), int(own[a]))), root((int(group[b]), int(own[b])))
+                if x == y:
+                    continue
+                one, two = ((np.frombuffer(v[s].as_buffer(), np.uint64), np.frombuffer(w[s].as_buffer(), np.float32).astype(float)) for s in (a, b))
+                if similarity(*one, *two) >= threshold:
+                    parent[max(x, y)] = min(x, y)
+                    edges.append((int(max(ids[a], ids[b])), int(min(ids[a], ids[b]))))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[s] for e in edges], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
-    pairs = m.groupBy("band", "h", "i", "j").applyInPandas(search, "a long, b long").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
+    likely = m.repartition(*_KEY).sortWithinPartitions(*_KEY, "rep").mapInArrow(partners, _MEMBER)
+    full = likely.join(sets, "rep").select(*_KEY, "salt", "rep", "class", "n", "sig", "v", "w")
+    return full.repartition(*_KEY).sortWithinPartitions(*_KEY, "rep").mapInArrow(verify, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K, rows: int = ROWS, weights: str = "set", seed: int = 1) -> DataFrame:
@@ -173,51 +284,52 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K,
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fine = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False)) & F.col("doc_id").isNotNull()
     keyed = base.select("doc_id", fine.alias("fine"), F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(seed)).alias("k2"), "text")
+    bands = k // rows
 
     def sign(batches):
         for frame in batches:
-            n, bands, sigs = [], [], []
-            for text in frame["text"]:
-                v, w = shingles(text, size, weights)
-                n.append(int(w.sum()))
-                if not len(v):
-                    bands.append([])
-                    sigs.append(b"")
-                    continue
-                name = darts(v, w, k, seed)
-                key = np.zeros(k // rows, np.uint64)
+            once = ~frame.duplicated(["k1", "k2"]).to_numpy()  # equal texts of a batch are signed once
+            texts = frame["text"][once].tolist()
+            n, keys, sigs = [], [], []
+            for a, b in common.chunks(texts):
+                v, w, cut = shingle_sets(texts[a:b], size, weights)
+                name = dart_sets(v, w, cut, k, seed)
+                key = np.zeros((b - a, bands), np.uint64)
                 for r in range(rows):
-                    key = windows._mix(key * np.uint64(31) + name[r::rows][: k // rows])
-                bands.append(key.astype(np.int64))
-                sigs.append((name >> np.uint64(48)).astype(np.uint16).tobytes())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "k1": frame["k1"], "k2": frame["k2"], "n": n, "bands": bands, "sig": sigs})
+                    key = windows._mix(key * np.uint64(31) + name[:, r * bands : (r + 1) * bands])
+                some = np.diff(cut) > 0
+                n += np.add.reduceat(np.append(w, 0.0), cut[:-1])[: b - a].astype(np.int64).tolist() if len(w) else [0] * (b - a)
+                keys += [x.astype(np.int64) if ok else [] for x, ok in zip(key, some, strict=True)]
+                sigs += [x.astype(np.uint16).tobytes() if ok else b"" for x, ok in zip(name >> np.uint64(48), some, strict=True)]
+            made = pd.DataFrame({"k1": frame["k1"][once], "k2": frame["k2"][once], "n": n, "bands": keys, "sig": sigs})
+            made.loc[[not s for s in sigs], "n"] = 0
+            yield frame[["doc_id", "k1", "k2"]].merge(made, on=["k1", "k2"], how="left")
 
     copies = keyed.where("fine").select("doc_id", "k1", "k2", F.col("text").cast("binary").alias("text"))
     signed = copies.mapInPandas(sign, "doc_id long, k1 long, k2 long, n long, bands array<long>, sig binary")
     reps = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).checkpoint()
-    banded = reps.select("rep", "n", "sig", F.posexplode("bands").alias("band", "h"))
+    known = reps.select("rep", "n", "sig")
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("band", "h").agg(F.count("*").alias("c"), F.min("rep").alias("leader")).where("c > 1").select("band", "h", "leader")
     members = banded.join(shared, ["band", "h"]).checkpoint()
     needed = members.select("rep").distinct()
 
     def hashed(batches):
         for frame in batches:
-            both = [shingles(t, size, weights) for t in frame["text"]]
-            yield pd.DataFrame({"rep": frame["rep"], "v": [v.tobytes() for v, _ in both], "w": [w.astype(np.float32).tobytes() for _, w in both]})
+            texts = frame["text"].tolist()
+            for a, b in common.chunks(texts):
+                v, w, cut = shingle_sets(texts[a:b], size, weights)
+                w = w.astype(np.float32)
+                yield pd.DataFrame({"rep": frame["rep"].iloc[a:b], "v": [v[x:y].tobytes() for x, y in zip(cut, cut[1:])], "w": [w[x:y].tobytes() for x, y in zip(cut, cut[1:])]})
 
     texts = keyed.where("fine").select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")).join(needed, "rep")
     sets = texts.mapInPandas(hashed, "rep long, v binary, w binary").dropDuplicates(["rep"]).checkpoint()
     stars = members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    tried = _verify(stars, sets, threshold).checkpoint()
-    found = common.connected_components(tried.where("ok").select("a", "b")).checkpoint()
-    for forest in (True, False):
-        more = _verify(_across(members, found, tried.select("a", "b"), threshold, k, forest), sets, threshold).checkpoint()
-        counts = more.agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).first()
-        tried = tried.union(more)
-        if counts["ok"]:
-            found = common.connected_components(tried.where("ok").select("a", "b")).checkpoint()
-        if counts["n"] == counts["ok"]:
-            break
+    links = _stars(stars, known, sets, threshold, k).checkpoint()
+    found = common.connected_components(links).checkpoint()
+    more = _across(members.drop("leader"), known, found, sets, threshold, k, rows).checkpoint()
+    if not more.isEmpty():
+        found = common.connected_components(links.union(more)).checkpoint()
     of_rep = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     good = keyed.where("fine").select("doc_id", "k1", "k2").join(of_rep, ["k1", "k2"]).select("doc_id", "class_id")
     alone = keyed.where("not fine").select("doc_id", F.col("doc_id").alias("class_id"))
