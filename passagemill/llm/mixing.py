@@ -7,8 +7,9 @@ near-equal size. Quotas of whole blocks go to sources, and then to the shards of
 source, by highest quotients votes / (2 n + 1). A cell takes each block quota div blocks
 times and a seeded choice of the rest once more, so no word is taken over twice.
 
-Shards are by hash, about ``shard_docs`` documents each, so a hot source is spread over
-all of them; tables of sources and cells are small and stay in Spark.
+Shards are by hash, the square root of the number of documents in all, so a hot source is
+spread over all of them, and neither a cell's tape nor the cells of a source grow faster
+than that root. Tables of sources and cells stay in Spark.
 
 Edge cases: null and empty texts have size 0 and nothing is taken; the null source comes
 last and is a source of its own; sources without a word have target 0; repeated rows and
@@ -18,6 +19,8 @@ and choices come from hashes of id, size and seed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,14 +65,14 @@ def seats(table: DataFrame, votes: str, most: str, total, by: list[str]) -> Data
     return won.groupBy(*keys).agg((F.first("__base") + F.sum("__won")).alias("quota"))
 
 
-def spans(docs: DataFrame, seed: int = 17, block: int = 64, shard_docs: int = 1024, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, carry: list[str] = ()) -> DataFrame:
+def spans(docs: DataFrame, seed: int = 17, block: int = 64, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, carry: list[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and parts: (first word, words, times) of what is taken of each document."""
     common.ensure_checkpoint_dir(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
     sized = docs.select("doc_id", "source", key.alias("key"), size.alias("size"), *carry).withColumn("mix", F.xxhash64("doc_id", "size", F.lit(seed)))
     small = sized.select("doc_id", "source", "key", "size", "mix", *carry).checkpoint()
-    shards = max(1, -(-small.count() // shard_docs))
+    shards = max(1, math.isqrt(small.count()))
     small = small.withColumn("shard", F.pmod(F.xxhash64("mix", F.lit(seed + 1)), F.lit(shards)))
     goal = targets(small, share, cap, weights)
     cells = small.groupBy("key", "shard").agg(F.sum("size").alias("words"))
