@@ -42,26 +42,34 @@ def fold(books: DataFrame, model: Callable[[dict[str, Column], Column, Column],
     model: (columns by name, start, rows shown) to the index answered, or null for a reply
     that names none. Only starts on the path are computed.
     """
-    t = books.withColumn("n", F.size("texts").cast("long")).withColumn("before", prompts.sums_before(F.col("texts"))).withColumn("jumps", _lengths(F.col("texts")))
-    book = {c: F.col(c) for c in t.columns}
+    n = F.size("texts").cast("long")
     state = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<bigint>").alias("b"))
+    starts = F.sequence(F.lit(0).cast("long"), n - T.TAIL - 1)
 
-    def step(acc: Column, k: Column) -> Column:
-        def moved(w: Column) -> Column:
-            def settle(answer: Column) -> Column:
-                on = F.greatest(k + w["grown"] - 1, k + 1)  # the + 1 guards against standing still
-                return F.struct(
-                    F.coalesce(answer + 1, on).cast("long").alias("c"),
-                    F.when(answer.isNull(), acc["b"]).otherwise(F.array_append(acc["b"], answer.cast("long"))).alias("b"),
-                )
+    def walked(before: Column) -> Column:
+        def along(jumps: Column) -> Column:
+            book = {**{c: F.col(c) for c in books.columns}, "n": n, "before": before, "jumps": jumps}
 
-            return T.let(model(book, k, w["shown"]), settle)
+            def step(acc: Column, k: Column) -> Column:
+                def moved(w: Column) -> Column:
+                    def settle(answer: Column) -> Column:
+                        on = F.greatest(k + w["grown"] - 1, k + 1)  # the + 1 guards against standing still
+                        return F.struct(
+                            F.coalesce(answer + 1, on).cast("long").alias("c"),
+                            F.when(answer.isNull(), acc["b"]).otherwise(F.array_append(acc["b"], answer.cast("long"))).alias("b"),
+                        )
 
-        return F.when(acc["c"] != k, acc).otherwise(T.let(prompts.window_at(F.col("before"), F.col("n"), k), moved))
+                    return T.let(model(book, k, w["shown"]), settle)
 
-    starts = F.sequence(F.lit(0).cast("long"), F.col("n") - T.TAIL - 1)
-    walked = F.when(F.col("n") > T.TAIL, F.aggregate(starts, state, step, lambda a: a["b"])).otherwise(F.array().cast("array<bigint>"))
-    return t.withColumn("boundaries", walked).drop("before", "jumps")
+                return F.when(acc["c"] != k, acc).otherwise(T.let(prompts.window_at(before, n, k), moved))
+
+            return F.aggregate(starts, state, step, lambda a: a["b"])
+
+        return T.let(_lengths(F.col("texts")), along)
+
+    # sums and jumps are bound within the expression, so that a filter on the result can't copy them into its loop
+    cuts = F.when(n > T.TAIL, T.let(prompts.sums_before(F.col("texts")), walked)).otherwise(F.array().cast("array<bigint>"))
+    return books.withColumn("n", n).withColumn("boundaries", cuts)
 
 
 def by_start(paragraphs: DataFrame, plan: DataFrame) -> DataFrame:

@@ -3,8 +3,12 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
+settings.register_profile("no_deadline", deadline=None)
+settings.load_profile("no_deadline")
+
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 #: Python workers import the package, and what tests define.
