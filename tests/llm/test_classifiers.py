@@ -1,0 +1,145 @@
+"""Operators 1, 5 and 8: held-out accuracy, edge rows, and the pieces of the methods."""
+
+import numpy as np
+import pytest
+from fixtures import SF, edge_docs, empty_docs
+from pyspark.sql import functions as F
+
+from passagemill.llm import common, langid, quality, queries, toxicity
+
+
+def sample(lang, n, seed):
+    rng = np.random.default_rng(seed)
+    words = {"en": "the of and with this there house water".split(), "de": "der die und nicht schön wasser haus ich".split()}[lang]
+    return [" ".join(rng.choice(words, 30)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def languages():
+    rows = [(t, k) for k in ("en", "de") for t in sample(k, 60, 1)]
+    return langid.train([rows[i] for i in np.random.default_rng(0).permutation(len(rows))])
+
+
+def test_language_of_unseen_text(languages):
+    for k in ("en", "de"):
+        lang, score = languages.predict(sample(k, 40, 2))
+        assert set(lang) == {k} and score.min() > languages.threshold
+
+
+def test_language_edges(spark, languages):
+    docs = edge_docs(spark)
+    out = langid.identify(docs, languages).collect()
+    assert len(out) == docs.count() and {"size", "rep", "n_chars"} <= set(out[0].asDict())
+    for r in out:
+        blank = r["text"] is None or not any(c.isalpha() for c in r["text"])
+        assert (r["lang_pred"] == "und") == blank and 0 <= r["score"] <= 1 and (not blank or (r["score"] == 0 and r["rejected"]))
+    assert langid.identify(empty_docs(spark), languages).count() == 0
+    assert {r["doc_id"] for r in langid.keep_identified(docs, languages).collect()} <= {4, 5, 6, 7, 8, 9, 10, None}
+    assert langid.keep_identified(docs, languages).columns == docs.columns
+
+
+def test_language_without_labels(spark):
+    model = langid.fit(empty_docs(spark))
+    assert {r["lang_pred"] for r in langid.identify(edge_docs(spark), model).collect()} == {"und"}
+
+
+def test_language_ignores_where_the_batch_is_cut(languages):
+    texts = sample("en", 5, 3) + sample("de", 5, 4)
+    one = languages.predict(texts)[1]
+    each = [languages.predict([t])[1][0] for t in texts]
+    assert np.allclose(one, each)
+
+
+def held_out_rows(spark, df, label):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    return df.join(labels, "doc_id").where("held_out").select("score", "predicted", label).collect()
+
+
+def test_op1_held_out(spark):
+    t = queries.op1_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = t.where("held_out and lang is not null").collect()
+    assert len(rows) > 30 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("query, label", [("op5_quality_nbsvm", "quality"), ("op8_toxicity", "toxic")])
+def test_held_out_labels(spark, query, label):
+    df = queries.QUERIES[query](spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = df.join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 60 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    assert sum(r["predicted"] == r[label] for r in rows) >= 0.9 * len(rows)
+
+
+def labelled(n, seed, word):
+    rng = np.random.default_rng(seed)
+    plain = "the house stood near water while people spoke softly about weather and bread".split()
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(plain, 25))
+        if i % 2:
+            words[rng.integers(25)] = word(rng)
+        rows.append((" ".join(words), i % 2))
+    return rows
+
+
+def test_quality_model_learns_and_scores_edges(spark):
+    model = quality.train(labelled(300, 1, lambda r: "splendid"))
+    test = labelled(60, 2, lambda r: "splendid")
+    assert all((s >= 0.3) == bool(y) for (_, y), s in zip(test, model.score([t for t, _ in test]), strict=True))
+    docs = edge_docs(spark)
+    out = quality.score(docs, model).collect()
+    assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
+    assert len({r["score"] for r in out if r["doc_id"] in (1, 2)}) == 1
+    assert quality.score(empty_docs(spark), model).count() == 0
+
+
+def test_one_class_gives_its_rate():
+    for kind in (quality, toxicity):
+        assert kind.train([("a b", 1)] * 3).score(["x", None]).tolist() == [0.8, 0.8]
+        assert kind.train([]).score([""]).tolist() == [0.5]
+
+
+def test_dual_descent_is_at_the_optimum():
+    rng = np.random.default_rng(5)
+    dense = rng.random((60, 12)) < 0.3
+    y = (dense[:, 0] | dense[:, 3]).astype(int)
+    rows, values = [np.flatnonzero(r) for r in dense], rng.uniform(0.5, 2, 12)
+    weights, bias = quality.dual_descent(rows, values, y, np.ones(60), epochs=500)
+
+    def loss(w, b):  # weights are those of the indicators; the norm is of the scaled ones
+        z = np.array([w[r].sum() for r in rows]) + b
+        return 0.5 * ((w / values) ** 2).sum() + 0.5 * b * b + np.maximum(0, 1 - np.where(y, 1, -1) * z).sum()
+
+    best = loss(weights, bias)
+    assert all(best <= loss(weights + rng.normal(0, 0.02, 12), bias + rng.normal(0, 0.02)) + 1e-6 for _ in range(300))
+
+
+def test_toxic_words_misspelled(spark):
+    rng0 = np.random.default_rng(0)
+    bad = ["grobnackel", "schnudlicht", "worthlumber"]
+    model = toxicity.train(labelled(400, 1, lambda r: bad[r.integers(3)]))
+    clean = [t for t, y in labelled(80, 3, lambda r: "x") if not y]
+    seen = [t.replace(" the ", " grobnackel ", 1) + " grobnackel" for t in clean]
+    typo = [t + " grobnackle" for t in clean] + [t + " schnudlichts" for t in clean]
+    assert (model.score(clean) < 0.3).mean() > 0.95
+    assert (model.score(seen) >= 0.3).all() and (model.score(typo) >= 0.3).mean() > 0.9
+    long = " ".join(rng0.permutation((" ".join(clean) + " ").split() * 20)) + " grobnackel end"
+    assert model.score([long])[0] >= 0.3
+    docs = edge_docs(spark)
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == docs.count() and all(r["score"] is not None and 0 <= r["score"] <= 1 for r in out)
+    assert toxicity.score(empty_docs(spark), model).count() == 0
+
+
+def test_sample_is_bounded_and_reproducible(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("y"))
+    a, b = (common.labelled_sample(docs.repartition(n), labels, "y", 500) for n in (3, 7))
+    assert a == b and 350 < len(a) <= 560
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8), (5, 5), (30, 3)] + [(100 + i, 101 + i) for i in range(50)], "a bigint, b bigint")
+    out = {r["id"]: r["component"] for r in common.connected_components(edges).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 30: 1, 8: 8, 9: 8, **dict.fromkeys(range(100, 151), 100)}
+    assert common.connected_components(edges.where("false")).count() == 0
