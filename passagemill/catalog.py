@@ -117,6 +117,14 @@ def token_estimate(spark, sf_dir):
     return t.withColumn("tokens", T.token_estimate(F.col("words")))
 
 
+@query()
+def exact_token_count(spark, sf_dir):
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraphs.exact_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
 @query(f"WITH {_S} SELECT book_id, k AS para_idx, CAST(words AS BIGINT) AS words, b AS before, n FROM s")
 def prefix_words(spark, sf_dir):
     return paragraphs.weighed(_paragraphs(spark, sf_dir)).select("book_id", "para_idx", "words", "before", "n")

@@ -7,6 +7,9 @@ form without any shuffle; paragraph rows need one, on book_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,21 @@ def books_of_paragraphs(rows: DataFrame) -> DataFrame:
     return packed.select("book_id", F.transform("p", lambda x: x["text"]).alias("texts"), F.transform("p", lambda x: x["chapter"]).alias("chapters"))
 
 
+def exact_tokens(rows: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """Adds exact_tokens, counted by a tokenizer file that every executor finds at the path ``vocabulary``; null for a null text."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        encode = Tokenizer.from_file(vocabulary).encode_batch
+        for texts in batches:
+            known = texts.notna()
+            counts = [len(e.ids) for e in encode(texts[known].tolist(), add_special_tokens=False)]
+            yield pd.Series(counts, index=texts.index[known], dtype="Int64").reindex(texts.index)
+
+    return rows.withColumn("exact_tokens", F.pandas_udf(run, "long")(text))
+
+
 def tagged(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tagged", T.tag(F.col("para_idx"), F.col("text")))
 

@@ -201,3 +201,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).where("book_id = 1").first()["chunk"] == 'a\n"b"'
     sinks.write_csv(parts, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True, multiLine=True, escape='"').where("book_id = 1").first()["chunk"] == 'a\n"b"'
+
+
+def test_exact_token_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello, world's end", "", None, "é 漢字"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, text string")
+    slow = Tokenizer.from_file(path)
+    want = [None if t is None else len(slow.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [r["exact_tokens"] for r in paragraphs.exact_tokens(rows, path).orderBy("i").collect()] == want
