@@ -163,7 +163,7 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]
 # --- connected components -------------------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of ``edges(a, b)``: the smallest id that links reach.
 
     Alternating large-star / small-star steps; every step is checkpointed in the shared
@@ -183,12 +183,9 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before = None
-    for _ in range(rounds):
+    before, now = None, ()
+    while now != before:  # until a round changes nothing
         pairs = star(star(pairs, True), False).checkpoint()
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, now = now, pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     lows = pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(lows).groupBy("id").agg(F.min("component").alias("component"))
