@@ -145,6 +145,25 @@ class GenerativeModel:
         return self.client.generate_content(contents=prompt, generation_config={"temperature": self.temperature}, safety_settings=self.safety).candidates[0].content.parts[0].text
 
 
+@dataclass
+class PretrainedEmbedder:
+    """A pretrained encoder by name, opened once a Python worker; texts are cut where the encoder's input ends."""
+
+    name: str = "facebook/contriever"
+
+    def open(self) -> None:
+        import torch
+        from transformers import AutoModel, AutoTokenizer
+
+        self.torch, self.split, self.net = torch, AutoTokenizer.from_pretrained(self.name), AutoModel.from_pretrained(self.name).eval()
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        given = self.split(texts, padding=True, truncation=True, return_tensors="pt")
+        with self.torch.no_grad():
+            hidden = self.net(**given).last_hidden_state
+        return list(zip(hidden.numpy(), given["attention_mask"].numpy(), strict=True))
+
+
 @dataclass
 class LetterEmbedder:
     """A deterministic offline embedder: a word's vector counts its letters a to z; words of up to ``short`` letters are masked."""
