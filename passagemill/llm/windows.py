@@ -32,7 +32,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-BLOCK_BYTES = 4 << 20
+#: Bytes of text of a block, and the most that it grows to in large inputs; bytes of text for each bucket.
+BLOCK_BYTES, LARGEST_BLOCK, BUCKET_BYTES = 4 << 20, 32 << 20, 32 << 20
+#: Quantiles of doc_id that are computed; more blocks split what lies between two of them evenly by id.
+QUANTILES = 20_000
 ANSWER = "block long, bucket int, bits binary"
 RUN = "block long, bucket int, run binary"
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -244,24 +247,33 @@ def _run_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] = ()) -> tuple[DataFrame, int, int]:
     """Documents with a block number that never falls as doc_id grows; the numbers of blocks and of buckets.
 
-    Only a few thousand quantiles of doc_id reach the driver, whatever the rows. carry: columns
-    that go along as the struct ``row``.
+    Only quantiles of doc_id reach the driver, QUANTILES at most. carry: columns that go
+    along as the struct ``row``.
     """
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
-    total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
-    blocks = int(min(max(-(-total // block_bytes), min(parts, -(-total // (block_bytes // 16)))), 20_000)) or 1
-    bounds = docs.agg(F.percentile_approx("doc_id", [(i + 1) / blocks for i in range(blocks - 1)] or [0.5], 10 * max(1000, blocks)).alias("q")).first()["q"] if blocks > 1 else None
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    known = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    total, lo, hi = known["b"] or 0, known["lo"] or 0, known["hi"] or 0
+    blocks = -(-total // min(max(block_bytes, total // QUANTILES), max(block_bytes, LARGEST_BLOCK)))
+    blocks = int(max(blocks, min(parts, -(-total // (block_bytes // 16))))) or 1
+    coarse = min(blocks, QUANTILES)
+    fine = -(-blocks // coarse)
+    bounds = docs.agg(F.percentile_approx("doc_id", [(i + 1) / coarse for i in range(coarse - 1)], 10 * max(1000, coarse)).alias("q")).first()["q"] if coarse > 1 else None
     cuts = np.unique(np.array(bounds or [], dtype=np.int64))
+    first, last = np.concatenate([[lo], cuts + 1]), np.concatenate([cuts, [max(hi, lo)]])
 
     @F.pandas_udf("long")
     def number(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="left").astype(np.int64))
+        ids = ids.to_numpy(np.int64)
+        at = np.searchsorted(cuts, ids, side="left")
+        width = (last[at] - first[at]).astype(np.float64) + 1
+        part = np.clip((ids - first[at]) / width * fine, 0, fine - 1).astype(np.int64)
+        return pd.Series(at * fine + part)
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     dealt = docs.select(number(key).alias("block"), key.alias("doc_id"), F.col("doc_id").isNotNull().alias("keyed"), F.col("text").cast("binary").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
     dealt = dealt.repartition(parts, "block")
-    return dealt, blocks, int(min(max(parts, -(-total // (32 << 20))), 4096))
+    return dealt, blocks, int(max(parts, -(-total // BUCKET_BYTES)))
 
 
 def mark(docs: DataFrame, size: int = 13, history: DataFrame | None = None, carry: list[str] = ()) -> tuple[DataFrame, DataFrame, int]:

@@ -199,10 +199,15 @@ def overlapping(seed, n=120):
     return [rows[i] for i in rng.permutation(n)]
 
 
-@pytest.mark.parametrize("block_bytes", [4 << 20, 1 << 10])
-def test_removals_equal_brute_force(spark, monkeypatch, block_bytes):
+@pytest.mark.parametrize("block_bytes, quantiles", [(4 << 20, 20_000), (1 << 10, 20_000), (1 << 9, 4)])
+def test_removals_equal_brute_force(spark, monkeypatch, block_bytes, quantiles):
     monkeypatch.setattr(windows.deal, "__defaults__", (block_bytes, ()))
+    monkeypatch.setattr(windows, "QUANTILES", quantiles)
+    monkeypatch.setattr(windows, "LARGEST_BLOCK", block_bytes)
     rows = overlapping(3)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    dealt = windows.deal(frame)[0].select("doc_id", "block").distinct().orderBy("doc_id").collect()
+    assert [r["block"] for r in dealt] == sorted(r["block"] for r in dealt) and (quantiles > 4 or len({r["block"] for r in dealt}) > 8)
     same_removals(windows.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
 
 
