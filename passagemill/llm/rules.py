@@ -26,25 +26,44 @@ SHARES = ["mean_word", "symbol_share", "dup_line_share", "repeat_share", "exclai
 GRAM = 5
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, also where a filter on the result is pushed down."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _of_words(w: Column) -> Column:
+    """n_words, word_chars and n_repeat_words of an array of words."""
+    last = F.size(w) - GRAM
+    grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(GRAM)]))).otherwise(F.array().cast("array<bigint>"))
+
+    def repeated(g: Column) -> Column:
+        def among(s: Column) -> Column:
+            twin = lambda x, k: ((k > 0) & (F.get(s, k - 1)["g"] == x["g"])) | ((k + 1 < F.size(s)) & (F.get(s, k + 1)["g"] == x["g"]))
+            starts = F.array_sort(F.transform(F.filter(s, twin), lambda x: x["i"]))
+            covered = lambda p: F.transform(p, lambda at, k: F.coalesce(F.least(F.lit(GRAM), F.get(p, k + 1) - at), F.lit(GRAM)))
+            return F.aggregate(_let(starts, covered), F.lit(0).cast("long"), lambda a, n: a + n)
+
+        pairs = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(_let(pairs, among))
+
+    return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _let(grams, repeated).alias("n_repeat_words"))
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` less its text, with the base counts and the shares that rules may test."""
     keep = [c for c in docs.columns if c != text and c not in (*BASE, *SHARES)]
     t = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    t = t.withColumn("__w", F.filter(F.split("__t", common.GAP), lambda w: w != ""))
-    t = t.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(common.WORD)))
-    t = t.withColumn("n_words", F.size("__w").cast("long"))
-    grams = F.expr(f"if(n_words >= {GRAM}, transform(sequence(0, cast(n_words as int) - {GRAM}), i -> xxhash64({', '.join(f'__w[i + {k}]' for k in range(GRAM))})), cast(array() as array<bigint>))")
-    t = t.withColumn("__g", grams)
-    t = t.withColumn("__s", F.expr("if(size(array_distinct(__g)) = size(__g), null, array_sort(transform(__g, (g, i) -> struct(g as g, i as i))))"))
-    t = t.withColumn("__p", F.expr("array_sort(transform(filter(__s, (x, k) -> (k > 0 and __s[k - 1].g = x.g) or (k + 1 < size(__s) and __s[k + 1].g = x.g)), x -> x.i))"))
-    repeat = F.expr(f"coalesce(aggregate(transform(__p, (p, k) -> if(k + 1 < size(__p), least({GRAM}, __p[k + 1] - p), {GRAM})), 0L, (a, x) -> a + x), 0L)")
+    words = F.filter(F.split("__t", common.GAP), lambda w: w != "")
+    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(common.WORD))
+    t = t.withColumn("__w", _let(words, _of_words)).withColumn("__l", _let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("once"))))
     t = (
-        t.withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
+        t.withColumn("n_words", F.col("__w.n_words"))
+        .withColumn("word_chars", F.col("__w.word_chars"))
         .withColumn("n_symbols", F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long"))
-        .withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
-        .withColumn("n_repeat_words", repeat)
+        .withColumn("n_dup_lines", (F.col("__l.all") - F.col("__l.once")).cast("long"))
+        .withColumn("n_repeat_words", F.col("__w.n_repeat_words"))
     )
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.size("__l"), F.lit(1))
+    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("__l.all"), F.lit(1))
     shares = {
         "mean_word": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / words,
