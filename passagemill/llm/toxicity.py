@@ -4,7 +4,8 @@ A bag is a run of BAG words (one: the subwords of a word). The embeddings of its
 byte n-grams (3 to 6, word edges included) are averaged and go through a linear softmax; both are trained together.
 Labels are per document, so training alternates: the bags of a toxic document that score
 highest are its toxic ones, all bags of clean documents are clean (the highest-scoring
-ones first). A document scores as its highest bag, so one phrase in a long text counts.
+ones first). A document's evidence is its highest bag, and the second highest different
+one if that is toxic too: one phrase in a long text counts, two words count more than one.
 
 Edge cases: null and empty texts score as the lowest calibrated value, not null; with
 one label class only, every score is that class's smoothed rate. Repeated rows get
@@ -71,11 +72,17 @@ class ToxicityModel:
             values.append(np.add.reduceat(total, starts, dtype=np.float64) / np.maximum(np.add.reduceat(count, starts), 1) + self.bias)
         return np.concatenate(docs), np.concatenate(values)
 
+    def evidence(self, texts: list[bytes]) -> np.ndarray:
+        """The highest logit of each text, plus the next different one if it is positive; LOWEST without a bag."""
+        doc, z = self.bags(texts)
+        first, second = np.full(len(texts), LOWEST), np.full(len(texts), LOWEST)
+        np.maximum.at(first, doc, z)
+        rest = z < first[doc] - 1e-6  # a word that comes again has the same logit
+        np.maximum.at(second, doc[rest], z[rest])
+        return first + np.maximum(second, 0)
+
     def raw(self, texts: list[str | None]) -> np.ndarray:
-        top = np.full(len(texts), LOWEST)
-        doc, z = self.bags([common.normal_bytes(t or "", digits=True) for t in texts])
-        np.maximum.at(top, doc, z)
-        return top
+        return self.evidence([common.normal_bytes(t or "", digits=True) for t in texts])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.rate is not None:
@@ -136,9 +143,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 2, seed: int = 7) -> Toxici
         logits, bias = common.train_subwords(_examples(own, pick), labels, 2, BITS, dim=8, epochs=4, seed=seed + step, weight=weight)
         model = ToxicityModel((logits[:, 1] - logits[:, 0]).astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0)
     held = np.flatnonzero(~fit) if len({*y[~fit]}) == 2 else chosen
-    top = np.full(len(held), LOWEST)
-    doc, z = model.bags([texts[i] for i in held])
-    np.maximum.at(top, doc, z)
+    top = model.evidence([texts[i] for i in held])
     real = top > LOWEST
     model.slope, model.offset = common.platt(top[real], y[held][real])
     return model

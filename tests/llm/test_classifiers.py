@@ -116,7 +116,7 @@ def test_dual_descent_is_at_the_optimum():
 
 def test_toxic_words_misspelled(spark):
     rng0 = np.random.default_rng(0)
-    bad = ["grobnackel", "schnudlicht", "worthlumber"]
+    bad = ["grobnackel", "schnudlicht", "wortbrunzel"]
     model = toxicity.train(labelled(400, 1, lambda r: bad[r.integers(3)]))
     clean = [t for t, y in labelled(80, 3, lambda r: "x") if not y]
     seen = [t.replace(" the ", " grobnackel ", 1) + " grobnackel" for t in clean]
