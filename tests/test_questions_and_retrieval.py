@@ -109,3 +109,14 @@ def test_rewriting(spark):
     t = spark.createDataFrame([(0, "a. b."), (1, None)], "id bigint, chunk string")
     out = splitters.rewritten(t, lambda x: x.split(". ")).collect()
     assert [(r["row_idx"], r["proposition"]) for r in out] == [(0, "a"), (1, "b.")]
+
+
+def test_scores_rise_with_k_and_stay_in_bounds(spark):
+    ranks = spark.createDataFrame([(i, r) for i, r in enumerate([None, *range(1, 26)])], "q_idx bigint, first_rank bigint")
+    rows = retrieval.at_cuts(ranks).orderBy("q_idx", "k").collect()
+    for q in range(26):
+        own = [r for r in rows if r["q_idx"] == q]
+        assert [r["k"] for r in own] == [*retrieval.CUTS]
+        for c in ("dcg", "recall"):
+            assert [r[c] for r in own] == sorted(r[c] for r in own)
+        assert all(0 <= r["dcg"] <= r["recall"] <= 1 for r in own)
