@@ -87,7 +87,7 @@ def byte_ngrams(buf: np.ndarray, sizes: range, bits: int):
             yield mixed >> np.uint32(32 - bits), ok
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20):
+def chunks(texts: list[bytes], most: int = 1 << 18):
     """Runs of texts of about ``most`` bytes together (a longer text is a run of its own): (first, last)."""
     at, size = 0, 0
     for i, t in enumerate(texts):

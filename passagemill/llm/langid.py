@@ -35,7 +35,7 @@ class LanguageModel:
     threshold: float = 0.0
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
-        """Mean logits by text; the work arrays stay near 1 MB of text."""
+        """Mean logits by text; the work arrays hold those of some 256 KB of text."""
         out = np.zeros((len(texts), len(self.languages)))
         for a, b in common.chunks(texts):
             buf = np.frombuffer(b"".join(texts[a:b]), np.uint8)
