@@ -12,7 +12,8 @@ still hold several classes, the pairs of different classes whose signatures allo
 threshold are verified, each in the first band that it shares, likeliest first, until the
 bucket's classes are joined or all its pairs are tried; only links that join classes are
 emitted. So no link between different texts is left out but by the chance of the signature.
-Large buckets are split by salt, and pairs of parts go to different tasks.
+Large buckets are split by salt, and pairs of parts go to different tasks; parts of the
+largest class of a bucket meet only those of the others.
 
 Edge cases: texts without a word, and null texts, stand alone; equal texts with a word
 are copies of each other, also under five words, where only copies link; repeated rows
@@ -36,7 +37,7 @@ K, ROWS = 80, 4
 #: Documents, and shingles, of a part of a bucket: what a task holds is bounded by two parts.
 PART, PART_SHINGLES = 512, 500_000
 #: Pairs that are compared at once.
-PAIRS = 1 << 17
+PAIRS = 1 << 15
 
 
 def shingles(text: bytes | None, size: int = 5, weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
@@ -218,10 +219,20 @@ def _across(members: DataFrame, reps: DataFrame, found: DataFrame, sets: DataFra
     """Links (a, b) between different classes that share a bucket: enough of them to join all that are linked."""
     m = members.join(found.select(F.col("id").alias("rep"), F.col("component").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     m = m.join(reps.select("rep", "n"), "rep").select("band", "h", "rep", "class", "n")
-    share = F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)
-    mixed = m.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.ceil(share).alias("parts")).where("lo <> hi").select("band", "h", "parts")
-    m = m.join(mixed, ["band", "h"]).join(reps.select("rep", "sig"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    per = m.groupBy("band", "h", "class").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = F.struct("c", "class")
+    mixed = per.groupBy("band", "h").agg(F.count("*").alias("classes"), F.max(most).alias("main"), F.max_by("s", most).alias("main_s"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("classes > 1")
+    parts = lambda c, s: F.greatest(F.lit(1), F.ceil(F.greatest(c / PART, s / PART_SHINGLES))).cast("long")
+    # a large bucket: its largest class has parts of its own, which meet those of the others, never each other
+    mixed = mixed.withColumn("large", parts(F.col("c"), F.col("s")) > 1).select(
+        "band", "h", "large", F.col("main.class").alias("main"),
+        parts(F.col("c") - F.col("main.c"), F.col("s") - F.col("main_s")).alias("others"), parts(F.col("main.c"), F.col("main_s")).alias("mains"),
+    )
+    m = m.join(mixed, ["band", "h"]).join(reps.select("rep", "sig"), "rep").withColumn("in_main", F.col("large") & (F.col("class") == F.col("main")))
+    spread = F.xxhash64("rep")
+    m = m.withColumn("salt", F.when(~F.col("large"), 0).when(F.col("in_main"), F.col("others") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "others")).cast("long"))
+    last = F.when(~F.col("large"), 0).when(F.col("in_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).cast("long")
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     m = m.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).select(*_KEY, "salt", "rep", "class", "n", "sig")
     least, bands = _least(threshold, k), k // rows
 
