@@ -1,10 +1,16 @@
 """Operator 3, licence scan by sentence rules.
 
-A text is cut into sentences (at line ends and after . ! ?), each is normalised (lower
-case, runs of other than a-z and 0-9 become a space) and looked up among known licence
-sentences. The identifiers found, in order, form a sequence; ordered rules (whole licence
-texts first, single notices last) take their identifiers out of it, so that a sentence
-counts for one rule only. All of it is expressions within a row: no shuffle, no Python.
+A text is cut into pieces (at line ends and after . ! ?) and these into parts (after ; :
+addresses and list marks); all are normalised (lower case, runs of other than a-z and 0-9
+become a space, so that comment marks go). A run of parts that makes up a known licence
+sentence is found, the longest first: a notice on a line of its own as well as a sentence
+wrapped over many. The identifiers found, in order, form a sequence; ordered rules (whole
+licence texts first, single notices last) take their identifiers out of it, so that a
+sentence counts for one rule only. All of it is expressions within a row: no shuffle, no
+Python.
+
+``oracle_sql`` knows sentences of one piece only, and none of VARIANTS. It gives the same
+for texts that have no others.
 
 Edge cases: null and empty texts have no sentence and no licence; any length is one row;
 a sentence that is repeated counts again; repeated rows get equal results; other columns
@@ -67,6 +73,16 @@ SENTENCES: dict[str, str] = {
     "rights": "all rights reserved",
 }
 
+#: Other wordings of known sentences, as canonical texts have them, and their identifiers.
+VARIANTS: dict[str, str] = {
+    "licensed under the apache license version 2 0 the license": "apache2",
+    "apache license version 2 0 january 2004": "apache2-name",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+}
+
 #: Ordered rules: licence, identifiers that must follow each other in the sequence.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-3-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-names")),
@@ -111,21 +127,28 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("All-Rights-Reserved", ("rights",)),
 ]
 
-#: A sentence without one of these (in any case) is no known sentence, so it needs no lookup.
+#: A text without one of these (in any case) has no known sentence, so it needs no lookup.
 CUES = "licen|copyright|reserved|permission|warrant|redistribut|public domain|software|endorse"
 _SPLIT = r"([.!?])[ \t]+"
-_OTHER = "[^a-z0-9]+"
+#: Ends of parts are marked by an X, which no text in lower case has.
+_PARTS = r"([;:][ \t]+|://[^ \t\n]+[ \t]+|(?<=\n)[^a-z0-9\n]*[a-z0-9]{1,2}\)[ \t]+)"
+_WORD_MARKS = r"(?<=\n)[ \t]*(?:dnl|rem)(?=\s)"
+_OTHER = r"[^a-z0-9X\n]+"
+#: A known sentence between two ends, the longest first; its words may be on several lines.
+_KNOWN = "[X\n](?:" + "|".join(s.replace(" ", "[ X\n]+") for s in sorted([*SENTENCES.values(), *VARIANTS], key=len, reverse=True)) + ")(?=[X\n])"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_known (licence sentences), n_matches (rules applied), licences (in rule order, joined by commas), first_known (the position of the first licence sentence, from 0; -1: none)."""
-    known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
+    """doc_id, n_sentences (pieces with a letter or digit), n_known (licence sentences, wrapped or not), n_matches (rules applied), licences (in rule order, joined by commas), first_known (the piece in which the first licence sentence starts, from 0; -1: none)."""
+    known = F.create_map(*[F.lit(x) for s, k in [*((s, k) for k, s in SENTENCES.items()), *VARIANTS.items()] for x in (s, k)])
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    t = t.withColumn("s", F.split(F.regexp_replace("t", _SPLIT, "$1\n"), "\n"))
-    t = t.withColumn("n_sentences", F.size(F.filter("s", lambda x: x.rlike("[a-zA-Z0-9]"))).cast("long"))
-    cued = F.transform("s", lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(f"(?i){CUES}"), F.trim(F.regexp_replace(F.lower(x), _OTHER, " "))).alias("n")))
-    t = t.withColumn("c", F.filter(cued, lambda x: x["n"].isNotNull()))
-    t = t.withColumn("k", F.filter(F.transform("c", lambda x: F.struct(x["i"].alias("i"), F.try_element_at(known, x["n"]).alias("id"))), lambda x: x["id"].isNotNull()))
+    t = t.withColumn("s", F.regexp_replace("t", _SPLIT, "$1\n"))
+    t = t.withColumn("n_sentences", F.size(F.filter(F.split("s", "\n"), lambda x: x.rlike("[a-zA-Z0-9]"))).cast("long"))
+    z = F.regexp_replace(F.concat(F.lit("\n"), F.lower("s"), F.lit("\n")), _WORD_MARKS, "")
+    z = F.regexp_replace(F.regexp_replace(z, _PARTS, "$1X"), _OTHER, " ")
+    t = t.withColumn("z", F.when(F.col("t").rlike(f"(?i){CUES}"), F.regexp_replace(z, " ?([X\n]) ?", "$1")).otherwise(""))
+    t = t.withColumn("m", F.regexp_extract_all("z", F.lit(_KNOWN), F.lit(0)))
+    t = t.withColumn("k", F.transform("m", lambda x: F.struct(F.try_element_at(known, F.trim(F.regexp_replace(x, "[ X\n]+", " "))).alias("id"))))
     t = t.withColumn("q", F.when(F.size("k") > 0, F.concat(F.lit("|"), F.array_join(F.transform("k", lambda x: F.concat(F.lit("<"), x["id"], F.lit(">"))), "|"), F.lit("|"))).otherwise(""))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|".join(f"<{x}>" for x in ids)).alias("what")) for name, ids in RULES])
     start = F.struct(F.col("q").alias("q"), F.array().cast("array<string>").alias("l"), F.lit(0).cast("long").alias("n"))
@@ -137,18 +160,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
     # the rules are applied only to the few rows that hold a known sentence
     t = t.withColumn("f", F.when(F.col("q") != "", F.aggregate(rules, start, step)))
+    above = F.substring("z", F.lit(1), F.regexp_instr("z", F.lit(_KNOWN)))  # to the start of the first
     return t.select(
         "doc_id",
         "n_sentences",
         F.size("k").cast("long").alias("n_known"),
         F.coalesce("f.n", F.lit(0)).cast("long").alias("n_matches"),
         F.coalesce(F.array_join(F.array_distinct("f.l"), ","), F.lit("")).alias("licences"),
-        F.coalesce(F.try_element_at("k", F.lit(1))["i"], F.lit(-1)).cast("long").alias("first_known"),
+        F.when(F.size("k") > 0, F.size(F.split(above, "\n")) - 2).otherwise(-1).cast("long").alias("first_known"),
     )
 
 
 def oracle_sql() -> str:
-    """The scan in DuckDB's SQL, generated from the same tables."""
+    """The scan of sentences of one piece in DuckDB's SQL, generated from SENTENCES and RULES."""
     known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
     whats = ["|".join(f"<{x}>" for x in ids) for _, ids in RULES]
     chain = ", ".join(f"replace(q{n}, '{w}', '~') AS q{n + 1}" for n, w in enumerate(whats))

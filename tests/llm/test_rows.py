@@ -62,6 +62,86 @@ def test_licences_equal_sql(spark):
     oracle.same(licences.scan(docs), con, licences.oracle_sql().replace("FROM documents", "FROM edges"))
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+(2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS."""
+
+
+def test_wrapped_licences(spark):
+    marked = lambda mark, t: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    full = {"Apache-2.0": (APACHE, 5), "MIT": (MIT, 4), "BSD-3-Clause": (BSD, 4), "GPL-3.0-or-later": (GPL, 3), "ISC": (ISC, 2)}
+    cases = []
+    for licence, (text, known) in full.items():
+        forms = [text, text.replace("\n", "\r\n"), " ".join(text.split()), *(marked(m, text) for m in ("//", " *", "#", "dnl", ";;"))]
+        cases += [(licence, known, f) for f in forms if not (licence == "MIT" and f == " ".join(text.split()))]  # on one line its title and names run into the grant
+    cases += [("MIT", 4, " ".join(MIT.partition("A Person")[2].split())), ("", 0, "It is licensed under\nthe MIT License of old."), ("MIT", 1, "Copyright 2020 A Person\nReleased under\nthe MIT License\nx = 1")]
+    docs = spark.createDataFrame([(i, f"x = 1\n{t}\nimport that") for i, (_, _, t) in enumerate(cases)], "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert [(out[i]["licences"], out[i]["n_known"], out[i]["n_matches"]) for i in range(len(cases))] == [(a, n, min(n, 1)) for a, n, _ in cases]
+    assert out[0]["first_known"] == 1 and out[len(cases) - 1]["first_known"] == 2
+
+
+def test_variants_are_normalised():
+    for s, i in licences.VARIANTS.items():
+        assert re.search(licences.CUES, s) and re.sub("[^a-z0-9]+", " ", s.lower()).strip() == s and i in licences.SENTENCES
+
+
 def test_licences_are_native(spark):
     plan = licences.scan(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and licences.scan(empty_docs(spark)).count() == 0
