@@ -119,13 +119,18 @@ def walk(texts: list[str], call: Callable[[str], str | None], mode: str = "stric
     strict: an index at or below the last boundary, or beyond the book, is a bad_reply.
     compat: any index is taken as it is. A prompt of one row that gets no index is asked
     again up to ``repeats`` times, then the walk moves on (no_progress). ``most`` bounds the
-    prompts of a book (prompt_cap); by default it is twice its rows.
+    prompts of a book (prompt_cap). By default there is no bound in strict mode, whose walk
+    ends by itself (each boundary is above the last one, and without one it moves on); in
+    compat mode the starts that a rewind leads to again are bounded by twice the rows.
     """
     sums, n = plan_of(texts)
     steps, start, last, again = [], 0, 0, 0
-    most = 2 * n if most is None else most
+    furthest, rewound = -1, 0
     while start < n - T.TAIL:
-        if len(steps) >= most:
+        if not again:
+            rewound += start <= furthest
+            furthest = max(furthest, start)
+        if len(steps) >= most if most is not None else mode == "compat" and rewound > 2 * n:
             steps.append((start, 0, None, None, "prompt_cap", None))
             break
         grown, shown = shown_from(sums, n, start)

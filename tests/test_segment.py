@@ -86,6 +86,21 @@ def test_compat_rewinds_until_the_cap():
     assert starts[1:] == [3] * 5 and statuses[-1] == "prompt_cap"
 
 
+@pytest.mark.parametrize("mode", ["strict", "compat"])
+def test_long_rows_dont_use_up_the_prompts(spark, mode):
+    texts = ["w " * (600 + i) for i in range(20)] + ["w " * (i * 7 % 13) for i in range(10)]
+    t = books(spark, texts)
+    asked = boundaries.ask(t, models.LexicalModel(), mode=mode).first()
+    assert asked["boundaries"] == boundaries.fold(t).first()["boundaries"] and max(asked["boundaries"]) > 20
+    assert len(asked["steps"]) > 2 * len(texts) and "prompt_cap" not in {s["status"] for s in asked["steps"]}
+
+
+def test_compat_rewinds_end_by_default():
+    for replies in (["Answer: ID 2"], ["Answer: ID 9", "Answer: ID 2"] * 500):
+        steps = boundaries.walk(["x"] * 20, models.ScriptedModel(replies).complete, mode="compat")
+        assert steps[-1][4] == "prompt_cap" and len(steps) <= 50
+
+
 def test_replies_are_reused(spark, tmp_path):
     t = books(spark, [f"{'w ' * (i % 7)}{i}" for i in range(30)])
     first = segment.asked_books(t, models.LexicalModel(), str(tmp_path / "walk"))
