@@ -32,11 +32,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_sample(texts: DataFrame, labels: DataFrame, label: str, max_docs: int, max_chars: int = 131_072, seed: int = 11) -> list[tuple[str, object]]:
+def labelled_sample(texts: DataFrame, labels: DataFrame, label: str, max_docs: int, seed: int = 11) -> list[tuple[str, object]]:
     """(text, label) of at most about ``max_docs`` rows, chosen by a hash of the id, in hash order.
 
     Only ids and labels are counted and sampled first, so the broadcast side is
-    bounded by ``max_docs`` rows; texts over ``max_chars`` are no training rows.
+    bounded by ``max_docs`` rows; texts are whole, of any length.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"))
     n = known.count()
@@ -47,7 +47,7 @@ def labelled_sample(texts: DataFrame, labels: DataFrame, label: str, max_docs: i
     chosen = known.withColumn("mix", mix).where(F.col("mix") < int(share * 1_000_000) + 1)
     rows = (
         texts.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+        .where(F.col("text").isNotNull())
         .join(F.broadcast(chosen), "doc_id")
         .select("mix", "doc_id", "text", "y")
         .collect()

@@ -116,7 +116,7 @@ def train(rows: list[tuple[str, int]], least: int = 3, vocabulary: int = 200_000
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000) -> QualityModel:
-    """Learns from at most about ``max_docs`` labelled rows (the documented bound), whole texts."""
+    """Learns from at most about ``max_docs`` labelled rows and the 200,000 most frequent n-grams of ``train`` (the documented bounds), whole texts."""
     return train(common.labelled_sample(docs, labels, "quality", max_docs))
 
 

@@ -3,8 +3,8 @@
 A bag is a run of BAG words (one: the subwords of a word). The embeddings of its hashed
 byte n-grams (3 to 6, word edges included) are averaged and go through a linear softmax; both are trained together.
 Labels are per document, so training alternates: the bags of a toxic document that score
-highest are its toxic ones, all bags of clean documents are clean (the highest-scoring
-ones first). A document's evidence is its highest bag, and the second highest different
+highest (4 at most) are its toxic ones; of a clean document the 3 highest and 2 random bags
+are learned as clean (documented bounds of training; scores are of all bags). A document's evidence is its highest bag, and the second highest different
 one if that is toxic too: one phrase in a long text counts, two words count more than one.
 
 Edge cases: null and empty texts score as the lowest calibrated value, not null; with

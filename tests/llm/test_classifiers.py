@@ -143,3 +143,10 @@ def test_components(spark):
     out = {r["id"]: r["component"] for r in common.connected_components(edges).collect()}
     assert out == {1: 1, 2: 1, 3: 1, 30: 1, 8: 8, 9: 8, **dict.fromkeys(range(100, 151), 100)}
     assert common.connected_components(edges.where("false")).count() == 0
+
+
+def test_long_texts_are_training_rows(spark):
+    docs = spark.createDataFrame([(i, "palabra " * 20_000 if i % 2 else "word " * 20) for i in range(10)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 1, "es").otherwise("en").alias("y"))
+    rows = common.labelled_sample(docs, labels, "y", 100)
+    assert sorted((len(t), y) for t, y in rows) == [(100, "en")] * 5 + [(160_000, "es")] * 5
