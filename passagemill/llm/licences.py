@@ -128,7 +128,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 #: A text without one of these (in any case) has no known sentence, so it needs no lookup.
-CUES = "licen|copyright|reserved|permission|warrant|redistribut|public domain|software|endorse"
+CUES = "licen|copyright|reserved|permission|warrant|redistribut|domain|software|endorse"
 _SPLIT = r"([.!?])[ \t]+"
 #: Ends of parts are marked by an X, which no text in lower case has.
 _PARTS = r"([;:][ \t]+|://[^ \t\n]+[ \t]+|(?<=\n)[^a-z0-9\n]*[a-z0-9]{1,2}\)[ \t]+)"

@@ -137,6 +137,12 @@ def test_wrapped_licences(spark):
     assert out[0]["first_known"] == 1 and out[len(cases) - 1]["first_known"] == 2
 
 
+def test_cues_bear_other_gaps(spark):
+    texts = ["This work is dedicated to the public-domain under CC0 1.0", "This work is dedicated to the public  domain under CC0 1.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r["licences"] for r in licences.scan(docs).collect()] == ["CC0-1.0"] * 2
+
+
 def test_variants_are_normalised():
     for s, i in licences.VARIANTS.items():
         assert re.search(licences.CUES, s) and re.sub("[^a-z0-9]+", " ", s.lower()).strip() == s and i in licences.SENTENCES
