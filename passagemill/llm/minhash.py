@@ -348,7 +348,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each class; columns as given. Rows without an id stay."""
+    """The documents that stay, one of each class; columns as given. Rows without an id stay.
+
+    Rows of one id are one class, whatever their texts: the one whose text has the smallest
+    SHA-256 stays (a null text last), of equal texts the one of the smallest hash of its row.
+    """
     kept = classes(docs, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.union(docs.where("doc_id is null"))
+    stay = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    cells = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col("text").isNull(), F.sha2("text", 256), F.xxhash64(*cells))
+    one = stay.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("__row")).select("__row.*")
+    return one.union(docs.where("doc_id is null"))

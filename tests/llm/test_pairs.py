@@ -168,3 +168,13 @@ def test_sets_are_those_of_single_texts():
         assert np.array_equal(v, values[cut[i] : cut[i + 1]]) and np.array_equal(w, weights[cut[i] : cut[i + 1]])
         assert not len(v) or np.array_equal(minhash.darts(v, w), names[i])
     assert sorted(weights[: cut[1]]) == [1, 1, 1, 1, 1, 2]
+
+
+def test_one_id_of_two_texts_keeps_a_defined_one(spark):
+    import hashlib
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    low, high = sorted((a, b), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    for rows in ([(5, low), (5, high), (5, None)], [(5, None), (5, high), (5, low)]):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+        assert [tuple(r) for r in minhash.keep_one(docs).collect()] == [(5, low)]
