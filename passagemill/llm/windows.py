@@ -50,34 +50,59 @@ def _mix(h: np.ndarray) -> np.ndarray:
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASES = (np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC3A5C85C97CB3127))
 _VALUES = [_mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1000 * (k + 1))) for k in range(2)]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of text that are hashed at once: what is held besides the result doesn't grow with a text.
+PIECE = 1 << 18
 
 
-def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 .. n of a base and of its inverse modulo 2^64."""
-    if k not in _POWERS or len(_POWERS[k][0]) <= n:
-        base = _BASES[k]
-        up, down = np.full(n + 1, base), np.full(n + 1, np.uint64(pow(int(base), -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _POWERS[k] = np.cumprod(up), np.cumprod(down)
-    return _POWERS[k]
+def _powers(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. PIECE of a base and of its inverse modulo 2^64."""
+    up, down = np.full(PIECE + 1, base), np.full(PIECE + 1, np.uint64(pow(int(base), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First bytes of the words of ``text``, and two independent 64-bit hashes of each.
 
-    A hash is a polynomial of tabled byte values; differences of running sums give it for all words at once.
+    A hash is a polynomial of tabled byte values; differences of running sums give it for
+    all words of a piece at once. A word that runs over the end of a piece is carried on.
     """
-    x = np.frombuffer(text, np.uint8)
-    space = np.concatenate([[True], _SPACE[x], [True]])
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    out = []
-    for k in range(2):
-        up, down = _powers(k, len(x))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[k][x] * up[: len(x)])])
-        out.append(_mix((sums[ends] - sums[starts]) * down[starts]))
-    return starts, out[0], out[1]
+    if not _POWERS:
+        _POWERS.extend(map(_powers, _BASES))
+    every = np.frombuffer(text, np.uint8)
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+    first, far, held = 0, 0, [0, 0]  # the word that is open: where it starts, its bytes and sums so far
+    for at in range(0, len(every), PIECE):
+        x = every[at : at + PIECE]
+        space = np.concatenate([[True], _SPACE[x], [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        values = []
+        for k in range(2):
+            up, down = _POWERS[k]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[k][x] * up[: len(x)])])
+            values.append((sums[ends] - sums[starts]) * down[starts])
+        starts = starts + at
+        if far:
+            goes_on = int(len(starts) > 0 and starts[0] == at)
+            for k in range(2):
+                more = pow(int(_BASES[k]), far, 1 << 64) * int(values[k][0]) if goes_on else 0
+                whole = np.array([(held[k] + more) % (1 << 64)], np.uint64)
+                values[k] = np.concatenate([whole, values[k][goes_on:]])
+            starts = np.concatenate([[first], starts[goes_on:]])
+        if len(edges) and edges[-1] == len(x) < len(every) - at:  # the last word is open
+            first, held = int(starts[-1]), [int(v[-1]) for v in values]
+            far = at + len(x) - first
+            starts, values = starts[:-1], [v[:-1] for v in values]
+        else:
+            far = 0
+        for out, new in zip(found, (starts, *values), strict=True):
+            out.append(new)
+    starts, *values = (np.concatenate(x) for x in found)
+    return starts, _mix(values[0]), _mix(values[1])
 
 
 def window_hash(h: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
