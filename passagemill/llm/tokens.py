@@ -33,7 +33,7 @@ def _byte_letters() -> dict[str, int]:
 class Encoder(dict):
     """Maps pieces to id bytes; ``encode`` maps texts."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1 << 16):
         super().__init__()
         self.path, self.most, self.slow = path, most, None
         with open(path, encoding="utf-8") as f:
