@@ -13,11 +13,14 @@ threshold are verified, each in the first band that it shares, likeliest first,
 bucket's classes are joined or all its pairs are tried; only links that join classes are
 emitted. So no link between different texts is left out but by the chance of the signature.
 Large buckets are split by salt, and pairs of parts go to different tasks; parts of the
-largest class of a bucket meet only those of the others.
+largest class of a bucket meet only those of the others. The members of a star are dealt to
+parts too: the first member's shingles are sent once a part, and members stream past them.
+Joins on a bucket or a first member carry a salt, so that no task gets a large one whole.
 
 Edge cases: texts without a word, and null texts, stand alone; equal texts with a word
 are copies of each other, also under five words, where only copies link; repeated rows
-and equal ids fall into one class; an empty table gives no row. Other columns are ignored.
+and equal ids fall into one class, whatever their texts; an empty table gives no row.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ K, ROWS = 80, 4
 PART, PART_SHINGLES = 512, 500_000
 #: Pairs that are compared at once.
 PAIRS = 1 << 15
+#: Rows, and bytes, of the groups that a task holds at once (a larger group is held whole: two parts).
+RUN_ROWS, RUN_BYTES = 20_000, 16 << 20
+#: Salts of joins on a bucket or a leader (bits of a long).
+SPREAD = 64
 
 
 def shingles(text: bytes | None, size: int = 5, weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
@@ -135,32 +142,75 @@ def _least(threshold: float, k: int) -> int:
     return max(1, math.floor(k * threshold - 4.5 * math.sqrt(k * threshold * (1 - threshold))))
 
 
-def _sets_of(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(v, np.uint64), np.frombuffer(w, np.float32).astype(float)) for v, w in zip(frame["v"], frame["w"], strict=True)]
+def _set(v: pa.Scalar, w: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and weights of a row; no weights are stored where all are 1."""
+    values = np.frombuffer(v.as_buffer(), np.uint64)
+    return values, np.frombuffer(w.as_buffer(), np.float32).astype(float) if len(w.as_buffer()) else np.ones(len(values))
 
 
-def _stars(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs (a, b) that are links: first by signature, then by exact similarity."""
+def _salt(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
+
+
+def _salts():
+    """Aggregate: the salts that occur."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def _by_salt(t: DataFrame) -> DataFrame:
+    """A row for each of the salts."""
+    return t.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SPREAD - 1}), s -> getbit(salts, s) = 1)"))).drop("salts")
+
+
+def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows that stand below their leader: a table of a batch's rows, and the places of members and of their leaders in it."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held, batch])
+        lead = table["lead"].to_numpy(zero_copy_only=False)
+        of = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
+        members = np.flatnonzero(~lead)
+        yield table, members, of[members]
+        held = table.slice(int(of[-1]), 1).combine_chunks().to_batches()[0]
+
+
+def _stars(stars: DataFrame, known: DataFrame, sets: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The links (a, b) among the pairs (tid, leader): first by signature, then by exact similarity."""
     least = _least(threshold, k)
 
-    def likely(batches):
-        for f in batches:
-            if len(f):
-                x, y = (np.frombuffer(b"".join(f[c]), np.uint16).reshape(len(f), k) for c in ("sig", "sig2"))
-                size = np.minimum(f["n"], f["n2"]) >= threshold * np.maximum(f["n"], f["n2"]) - 1e-9
-                yield f.loc[((x == y).sum(axis=1) >= least) & size.to_numpy(), ["a", "b"]]
+    def dealt(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Members below their leaders: the columns of ``rows`` for both, at most PART members a part."""
+        salted = pairs.withColumn("salt", _salt("tid"))
+        sizes = salted.groupBy("leader").agg(F.count("*").alias("c"), _salts())
+        sizes = sizes.withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
+        members = salted.join(_by_salt(sizes.select("leader", "parts", "salts")), ["leader", "salt"])
+        members = members.select("leader", F.pmod(F.xxhash64("tid"), "parts").cast("int").alias("part"), F.lit(False).alias("lead"), "tid")
+        heads = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"), F.col("leader").alias("tid"))
+        both = members.join(rows, "tid").unionByName(heads.join(rows, "tid"))
+        return both.repartition("leader", "part").sortWithinPartitions("leader", "part", F.desc("lead"), "tid")
 
-    signed = reps.select(F.col("rep").alias("a"), "n", "sig")
-    other = signed.toDF("b", "n2", "sig2")
-    pairs = pairs.join(signed, "a").join(other, "b").select("a", "b", "n", "n2", "sig", "sig2").mapInPandas(likely, "a long, b long")
-    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("w").alias("wb")), "b").join(sets.withColumnRenamed("rep", "a"), "a")
+    def likely(batches):
+        for t, a, b in _with_leaders(batches):
+            if len(a):
+                sig, n = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(t), k), t["n"].to_numpy()
+                ok = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9) & ((sig[a] == sig[b]).sum(axis=1) >= least)
+                tid = t["tid"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(tid[a[ok]]), pa.array(tid[b[ok]])], names=["tid", "leader"])
 
     def exact(batches):
-        for f in batches:
-            one, two = _sets_of(f), _sets_of(f[["vb", "wb"]].set_axis(["v", "w"], axis=1))
-            yield f.loc[[similarity(*x, *y) >= threshold for x, y in zip(one, two, strict=True)], ["a", "b"]]
+        for t, a, b in _with_leaders(batches):
+            v, w, rep = t["v"], t["w"], t["rep"].to_numpy()
+            ok, last, head = np.zeros(len(a), dtype=bool), -1, None
+            for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                if y != last:
+                    last, head = y, _set(v[y], w[y])
+                ok[i] = similarity(*_set(v[x], w[x]), *head) >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a[ok]]), pa.array(rep[b[ok]])], names=["a", "b"])
 
-    return joined.select("a", "b", "v", "w", "vb", "wb").mapInPandas(exact, "a long, b long")
+    pairs = dealt(stars, known.select("tid", "n", "sig")).mapInArrow(likely, "tid long, leader long").checkpoint()
+    return dealt(pairs, sets).mapInArrow(exact, "a long, b long")
 
 
 def _first_shared(x: np.ndarray, y: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -168,16 +218,14 @@ def _first_shared(x: np.ndarray, y: np.ndarray, bands: int, rows: int) -> np.nda
     return (x == y)[:, : bands * rows].reshape(len(x), rows, bands).all(axis=1).argmax(axis=1)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: list[str], most: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches that are sorted by ``key``."""
+def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about RUN_ROWS rows or RUN_BYTES, from batches that are sorted by ``key``."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(i, step) for b in batches if b.num_rows for step in [max(1, int(b.num_rows * min(1.0, RUN_BYTES / b.nbytes)))] for i in range(0, b.num_rows, step)):
         held.append(batch)
         size += batch.num_rows
-        if size < most:
+        if size < RUN_ROWS and sum(b.nbytes for b in held) < RUN_BYTES:
             continue
         table = pa.Table.from_batches(held)
         last, same = size - 1, np.ones(size, dtype=bool)
@@ -212,28 +260,31 @@ def _pairs_within(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> Ite
 
 
 _KEY = ["band", "h", "i", "j"]
-_MEMBER = "band int, h long, i long, j long, salt long, rep long, class long, n long, sig binary"
+_MEMBER = "band int, h long, i long, j long, salt long, tid long, rep long, class long, n long, sig binary"
 
 
-def _across(members: DataFrame, reps: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, k: int, rows: int) -> DataFrame:
+def _across(members: DataFrame, known: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, k: int, rows: int) -> DataFrame:
     """Links (a, b) between different classes that share a bucket: enough of them to join all that are linked."""
-    m = members.join(found.select(F.col("id").alias("rep"), F.col("component").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    m = m.join(reps.select("rep", "n"), "rep").select("band", "h", "rep", "class", "n")
-    per = m.groupBy("band", "h", "class").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    m = members.join(known.select("tid", "rep", "n"), "tid")
+    m = m.join(found.select(F.col("id").alias("rep"), F.col("component").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    m = m.select("band", "h", "salt", "tid", "rep", "class", "n")
+    per = m.groupBy("band", "h", "class").agg(F.count("*").alias("c"), F.sum("n").alias("s"), _salts())
     most = F.struct("c", "class")
-    mixed = per.groupBy("band", "h").agg(F.count("*").alias("classes"), F.max(most).alias("main"), F.max_by("s", most).alias("main_s"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("classes > 1")
+    mixed = per.groupBy("band", "h").agg(
+        F.count("*").alias("classes"), F.max(most).alias("main"), F.max_by("s", most).alias("main_s"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.bit_or("salts").alias("salts")
+    ).where("classes > 1")
     parts = lambda c, s: F.greatest(F.lit(1), F.ceil(F.greatest(c / PART, s / PART_SHINGLES))).cast("long")
     # a large bucket: its largest class has parts of its own, which meet those of the others, never each other
     mixed = mixed.withColumn("large", parts(F.col("c"), F.col("s")) > 1).select(
-        "band", "h", "large", F.col("main.class").alias("main"),
+        "band", "h", "large", "salts", F.col("main.class").alias("main"),
         parts(F.col("c") - F.col("main.c"), F.col("s") - F.col("main_s")).alias("others"), parts(F.col("main.c"), F.col("main_s")).alias("mains"),
     )
-    m = m.join(mixed, ["band", "h"]).join(reps.select("rep", "sig"), "rep").withColumn("in_main", F.col("large") & (F.col("class") == F.col("main")))
-    spread = F.xxhash64("rep")
+    m = m.join(_by_salt(mixed), ["band", "h", "salt"]).join(known.select("tid", "sig"), "tid").withColumn("in_main", F.col("large") & (F.col("class") == F.col("main")))
+    spread = F.xxhash64("tid")
     m = m.withColumn("salt", F.when(~F.col("large"), 0).when(F.col("in_main"), F.col("others") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "others")).cast("long"))
     last = F.when(~F.col("large"), 0).when(F.col("in_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).cast("long")
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    m = m.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).select(*_KEY, "salt", "rep", "class", "n", "sig")
+    m = m.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).select(*_KEY, "salt", "tid", "rep", "class", "n", "sig")
     least, bands = _least(threshold, k), k // rows
 
     def pairs_of(table: pa.Table):
@@ -260,7 +311,7 @@ def _across(members: DataFrame, reps: DataFrame, found: DataFrame, sets: DataFra
                 yield from table.take(pa.array(np.unique(np.concatenate([p, q])))).to_batches()
 
     def verify(batches):
-        for table in _runs(batches, _KEY, 2_000):
+        for table in _runs(batches, _KEY):
             group, p, q, equal = pairs_of(table)
             ids, own, v, w = table["rep"].to_numpy(), table["class"].to_numpy(), table["v"], table["w"]
             parent: dict[tuple[int, int], tuple[int, int]] = {}
@@ -276,16 +327,21 @@ def _across(members: DataFrame, reps: DataFrame, found: DataFrame, sets: DataFra
                 x, y = root((int(group[a]), int(own[a]))), root((int(group[b]), int(own[b])))
                 if x == y:
                     continue
-                one, two = ((np.frombuffer(v[s].as_buffer(), np.uint64), np.frombuffer(w[s].as_buffer(), np.float32).astype(float)) for s in (a, b))
-                if similarity(*one, *two) >= threshold:
+                if similarity(*_set(v[a], w[a]), *_set(v[b], w[b])) >= threshold:
                     parent[max(x, y)] = min(x, y)
                     edges.append((int(max(ids[a], ids[b])), int(min(ids[a], ids[b]))))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[s] for e in edges], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
-    likely = m.repartition(*_KEY).sortWithinPartitions(*_KEY, "rep").mapInArrow(partners, _MEMBER)
-    full = likely.join(sets, "rep").select(*_KEY, "salt", "rep", "class", "n", "sig", "v", "w")
-    return full.repartition(*_KEY).sortWithinPartitions(*_KEY, "rep").mapInArrow(verify, "a long, b long")
+    likely = m.repartition(*_KEY).sortWithinPartitions(*_KEY, "tid").mapInArrow(partners, _MEMBER)
+    full = likely.join(sets.select("tid", "v", "w"), "tid").select(*_KEY, "salt", "tid", "rep", "class", "n", "sig", "v", "w")
+    return full.repartition(*_KEY).sortWithinPartitions(*_KEY, "tid").mapInArrow(verify, "a long, b long")
+
+
+def _of_one_id(own: DataFrame) -> DataFrame:
+    """Links between the classes of equal texts that one doc_id has; own: (doc_id, rep) of every row."""
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most")
+    return own.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K, rows: int = ROWS, weights: str = "set", seed: int = 1) -> DataFrame:
@@ -299,9 +355,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K,
 
     def sign(batches):
         for frame in batches:
-            once = ~frame.duplicated(["k1", "k2"]).to_numpy()  # equal texts of a batch are signed once
-            texts = frame["text"][once].tolist()
-            n, keys, sigs = [], [], []
+            # equal texts of a batch are one row and signed once
+            once = frame.groupby(["k1", "k2"], sort=False).agg(doc_id=("doc_id", "min"), text=("text", "first")).reset_index()
+            texts = once.pop("text").tolist()
             for a, b in common.chunks(texts):
                 v, w, cut = shingle_sets(texts[a:b], size, weights)
                 name = dart_sets(v, w, cut, k, seed)
@@ -309,40 +365,41 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K,
                 for r in range(rows):
                     key = windows._mix(key * np.uint64(31) + name[:, r * bands : (r + 1) * bands])
                 some = np.diff(cut) > 0
-                n += np.add.reduceat(np.append(w, 0.0), cut[:-1])[: b - a].astype(np.int64).tolist() if len(w) else [0] * (b - a)
-                keys += [x.astype(np.int64) if ok else [] for x, ok in zip(key, some, strict=True)]
-                sigs += [x.astype(np.uint16).tobytes() if ok else b"" for x, ok in zip(name >> np.uint64(48), some, strict=True)]
-            made = pd.DataFrame({"k1": frame["k1"][once], "k2": frame["k2"][once], "n": n, "bands": keys, "sig": sigs})
-            made.loc[[not s for s in sigs], "n"] = 0
-            yield frame[["doc_id", "k1", "k2"]].merge(made, on=["k1", "k2"], how="left")
+                n = np.add.reduceat(np.append(w, 0.0), cut[:-1])[: b - a].astype(np.int64) * some
+                keys = [x.astype(np.int64) if ok else [] for x, ok in zip(key, some, strict=True)]
+                sigs = [x.astype(np.uint16).tobytes() if ok else b"" for x, ok in zip(name >> np.uint64(48), some, strict=True)]
+                yield once.iloc[a:b].assign(n=n, bands=keys, sig=sigs)
 
     copies = keyed.where("fine").select("doc_id", "k1", "k2", F.col("text").cast("binary").alias("text"))
-    signed = copies.mapInPandas(sign, "doc_id long, k1 long, k2 long, n long, bands array<long>, sig binary")
-    reps = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).checkpoint()
-    known = reps.select("rep", "n", "sig")
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "h"))
-    shared = banded.groupBy("band", "h").agg(F.count("*").alias("c"), F.min("rep").alias("leader")).where("c > 1").select("band", "h", "leader")
-    members = banded.join(shared, ["band", "h"]).checkpoint()
-    needed = members.select("rep").distinct()
+    signed = copies.mapInPandas(sign, "k1 long, k2 long, doc_id long, n long, bands array<long>, sig binary")
+    reps = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # a distinct text has a number of its own, as one doc_id may have several; it is fixed by the checkpoint
+    reps = reps.withColumn("tid", F.monotonically_increasing_id()).checkpoint()
+    known = reps.select("tid", "rep", "n", "sig")
+    banded = reps.select("tid", F.posexplode("bands").alias("band", "h")).withColumn("salt", _salt("tid"))
+    shared = banded.groupBy("band", "h").agg(F.count("*").alias("c"), F.min("tid").alias("leader"), _salts()).where("c > 1").drop("c")
+    members = banded.join(_by_salt(shared), ["band", "h", "salt"]).checkpoint()
+    needed = members.select("tid").distinct().join(reps.select("tid", "k1", "k2", "rep"), "tid")
 
     def hashed(batches):
-        for frame in batches:
-            texts = frame["text"].tolist()
+        for batch in batches:
+            texts = [x.as_buffer().to_pybytes() for x in batch["text"]]
             for a, b in common.chunks(texts):
                 v, w, cut = shingle_sets(texts[a:b], size, weights)
-                w = w.astype(np.float32)
-                yield pd.DataFrame({"rep": frame["rep"].iloc[a:b], "v": [v[x:y].tobytes() for x, y in zip(cut, cut[1:])], "w": [w[x:y].tobytes() for x, y in zip(cut, cut[1:])]})
-
-    texts = keyed.where("fine").select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")).join(needed, "rep")
-    sets = texts.mapInPandas(hashed, "rep long, v binary, w binary").dropDuplicates(["rep"]).checkpoint()
-    stars = members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _stars(stars, known, sets, threshold, k).checkpoint()
+                sets = pa.array([v[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())
+                scales = pa.array([w[x:y].astype(np.float32).tobytes() if weights == "count" else b"" for x, y in zip(cut, cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in ("tid", "rep")), sets, scales], names=["tid", "rep", "v", "w"])
+
+    texts = keyed.where("fine").select(F.col("doc_id").alias("rep"), "k1", "k2", F.col("text").cast("binary").alias("text")).join(needed, ["rep", "k1", "k2"])
+    sets = texts.select("tid", "rep", "text").mapInArrow(hashed, "tid long, rep long, v binary, w binary").dropDuplicates(["tid"]).checkpoint()
+    own = keyed.where("fine").select("doc_id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep").checkpoint()
+    stars = members.where("tid <> leader").select("tid", "leader").distinct().checkpoint()
+    links = _stars(stars, known, sets, threshold, k).union(_of_one_id(own)).checkpoint()
     found = common.connected_components(links).checkpoint()
     more = _across(members.drop("leader"), known, found, sets, threshold, k, rows).checkpoint()
     if not more.isEmpty():
         found = common.connected_components(links.union(more)).checkpoint()
-    of_rep = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
-    good = keyed.where("fine").select("doc_id", "k1", "k2").join(of_rep, ["k1", "k2"]).select("doc_id", "class_id")
+    good = own.join(found, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     alone = keyed.where("not fine").select("doc_id", F.col("doc_id").alias("class_id"))
     return good.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
