@@ -78,7 +78,8 @@ def by_start(paragraphs: DataFrame, plan: DataFrame) -> DataFrame:
 
     above = F.lag("text").over(Window.partitionBy("book_id").orderBy("para_idx"))
     jumps = paragraphs.withColumn("jump", F.abs(F.length("text") - F.length(above))).select("book_id", "para_idx", "jump")
-    rows = plan.join(jumps, "book_id").where((F.col("para_idx") > F.col("start_idx")) & (F.col("para_idx") < F.col("start_idx") + F.col("shown")))
+    places = F.explode(F.sequence(F.col("start_idx") + 1, F.col("start_idx") + F.col("shown") - 1))
+    rows = plan.where("shown > 1").select("book_id", "start_idx", places.alias("para_idx")).join(jumps, ["book_id", "para_idx"])
     best = rows.groupBy("book_id", "start_idx").agg(F.max_by("para_idx", F.struct("jump", -F.col("para_idx"))).alias("answer"))
     return plan.select("book_id", "start_idx", "grown").join(best, ["book_id", "start_idx"], "left")
 

@@ -22,17 +22,23 @@ def assembled(books: DataFrame, all_chapters: bool = False, carry: list[str] = (
     """
     n = F.size("texts").cast("long")
     ends = F.concat(F.transform("boundaries", lambda b: F.least(b, n)), F.array(n))
-    t = books.withColumn("__ends", ends).select("*", F.posexplode("__ends").alias("__k", "end_idx"))
-    t = t.withColumn("start_idx", F.when(F.col("__k") > 0, F.element_at("__ends", F.greatest(F.col("__k"), F.lit(1)))).otherwise(0).cast("long"))
-    rows = F.greatest(F.lit(0), F.col("end_idx") - F.col("start_idx")).cast("int")
-    own = F.slice("texts", (F.col("start_idx") + 1).cast("int"), rows)
-    part = F.slice("chapters", (F.col("start_idx") + 1).cast("int"), rows)
-    if all_chapters:
-        label = F.when(rows > 0, F.array_join(F.array_distinct(part), " and "))
-    else:
-        label = T.let(part, lambda p: F.when(F.size(p) > 0, chapter_label(F.element_at(p, 1), F.element_at(p, -1))))
-    chunk = F.array_join(F.transform(own, lambda x: T.strip_left(x)), "\n")
-    return t.select("book_id", *carry, F.col("__k").cast("long").alias("chunk_id"), "start_idx", "end_idx", label.alias("chapter"), chunk.alias("chunk"))
+
+    def chunk_of(start: Column, end: Column) -> Column:
+        at, rows = (start + 1).cast("int"), F.greatest(F.lit(0), end - start).cast("int")
+        part = F.slice("chapters", at, rows)
+        if all_chapters:
+            label = F.when(rows > 0, F.array_join(F.array_distinct(part), " and "))
+        else:
+            label = T.let(part, lambda p: F.when(F.size(p) > 0, chapter_label(F.element_at(p, 1), F.element_at(p, -1))))
+        text = F.array_join(F.transform(F.slice("texts", at, rows), lambda x: T.strip_left(x)), "\n")
+        return F.struct(start.alias("start_idx"), end.alias("end_idx"), label.alias("chapter"), text.alias("chunk"))
+
+    def made(ends: Column) -> Column:
+        return F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, F.lit(1), F.size(ends) - 1)), ends, chunk_of)
+
+    # the finished chunks are what is exploded, so that no chunk's row drags the book along
+    t = books.select("book_id", *carry, F.posexplode(T.let(ends, made)).alias("__k", "__c"))
+    return t.select("book_id", *carry, F.col("__k").cast("long").alias("chunk_id"), "__c.*")
 
 
 def spans(boundaries: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -44,16 +50,18 @@ def spans(boundaries: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def joined(paragraphs: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Chunks from paragraph rows and boundaries in any order: a left range join within the book.
+    """Chunks from paragraph rows and boundaries in any order: each chunk's positions, joined to the rows by book and position.
 
     An empty chunk has an empty text and a null chapter.
     """
     sizes = paragraphs.groupBy("book_id").agg(F.count("*").alias("n"))
     chapter = F.col("chapter") if "chapter" in paragraphs.columns else F.lit(None).cast("string")
-    rows = paragraphs.select(F.col("book_id").alias("__book"), "para_idx", T.strip_left("text").alias("text"), chapter.alias("chapter"))
-    inside = (F.col("book_id") == F.col("__book")) & (F.col("para_idx") >= F.col("start_idx")) & (F.col("para_idx") < F.col("end_idx"))
-    t = spans(boundaries, sizes).join(rows, inside, "left")
-    pieces = F.array_sort(F.collect_list(F.when(F.col("para_idx").isNotNull(), F.struct("para_idx", "text", "chapter"))))
+    rows = paragraphs.select("book_id", "para_idx", T.strip_left("text").alias("text"), chapter.alias("chapter"), F.lit(True).alias("__there"))
+    last = F.least("end_idx", "n") - 1
+    places = F.explode_outer(F.when(F.col("start_idx") <= last, F.sequence("start_idx", last)))
+    t = spans(boundaries, sizes).join(sizes, "book_id").select("book_id", "chunk_id", "start_idx", "end_idx", places.alias("para_idx"))
+    t = t.join(rows, ["book_id", "para_idx"], "left")
+    pieces = F.array_sort(F.collect_list(F.when(F.col("__there"), F.struct("para_idx", "text", "chapter"))))
     t = t.groupBy("book_id", "chunk_id", "start_idx", "end_idx").agg(pieces.alias("p"))
     label = F.when(F.size("p") > 0, chapter_label(F.try_element_at("p", F.lit(1))["chapter"], F.try_element_at("p", F.lit(-1))["chapter"]))
     return t.select("book_id", "chunk_id", "start_idx", "end_idx", label.alias("chapter"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("chunk"))

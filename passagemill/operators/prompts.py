@@ -37,11 +37,31 @@ def planned(weighed: DataFrame) -> DataFrame:
     return t.select("book_id", F.col("para_idx").alias("start_idx"), "n", "grown", shown, T.token_estimate(end - F.col("before")).alias("prompt_tokens"))
 
 
+def _running(values: Column, first: Column) -> Column:
+    """The sum of ``first`` and the values above, for each of a few values (an append copies the array)."""
+    start = F.struct(first.cast("long").alias("s"), F.array().cast("array<bigint>").alias("b"))
+    return F.aggregate(values, start, lambda a, w: F.struct((a["s"] + w).alias("s"), F.array_append(a["b"], a["s"]).alias("b")))["b"]
+
+
 def sums_before(texts: Column) -> Column:
-    """Words of all tagged rows above each row of ``texts``."""
-    zero = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("b"))
-    words = F.transform(texts, lambda x: T.word_count(x) + 2)
-    return F.aggregate(words, zero, lambda a, w: F.struct((a["s"] + w).alias("s"), F.array_append(a["b"], a["s"]).alias("b")))["b"]
+    """Words of all tagged rows above each row of ``texts``.
+
+    In blocks of the square root of the rows: sums within a block and of blocks are short
+    folds, so that a book of n rows takes about n^1.5 steps, not n^2.
+    """
+    zero = F.lit(0).cast("long")
+
+    def summed(words: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(words))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / side).cast("int") - 1), lambda i: F.slice(words, i * side + 1, side))
+
+        def joined(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, w: a + w))
+            return F.flatten(F.zip_with(_running(totals, zero), blocks, lambda first, b: _running(b, first)))
+
+        return F.when(F.size(words) > 0, T.let(blocks, joined)).otherwise(F.array().cast("array<bigint>"))
+
+    return T.let(F.transform(texts, lambda x: T.word_count(x) + 2), summed)
 
 
 def window_at(before: Column, n: Column, start: Column) -> Column:
@@ -51,19 +71,37 @@ def window_at(before: Column, n: Column, start: Column) -> Column:
     return T.let(F.least(fits + 1, n - 1 - start).cast("long"), lambda i: F.struct(i.alias("grown"), F.greatest(F.lit(1).cast("long"), i - 1).alias("shown")))
 
 
+#: Starts that are planned together, with the rows that they can reach.
+SEGMENT = 64
+
+
 def with_prompts(books: DataFrame) -> DataFrame:
-    """A row for each start of each book, with the text that is shown; nothing is shuffled."""
+    """A row for each start of each book, with the text that is shown; nothing is shuffled.
+
+    A book is first cut into segments of starts with the rows in their reach, so that a
+    row never drags the whole book along.
+    """
     t = books.withColumn("n", F.size("texts").cast("long")).where(F.col("n") > T.TAIL).withColumn("before", sums_before(F.col("texts")))
-    t = t.withColumn("start_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - T.TAIL - 1)))
-    t = t.withColumn("w", window_at(F.col("before"), F.col("n"), F.col("start_idx")))
-    rows = F.transform(F.slice("texts", (F.col("start_idx") + 1).cast("int"), F.col("w.shown").cast("int")), lambda x, k: T.tag(F.col("start_idx") + k, x))
-    return t.select("book_id", "start_idx", "n", F.col("w.grown").alias("grown"), F.col("w.shown").alias("shown"), F.array_join(rows, "\n").alias("prompt"))
+    last, reach = F.col("n") - T.TAIL - 1, F.lit(SEGMENT + REACH + 1)
+    cut = lambda name, a: F.slice(name, (a + 1).cast("int"), reach).alias(name)
+    segments = F.transform(F.sequence(F.lit(0).cast("long"), last, F.lit(SEGMENT).cast("long")), lambda a: F.struct(a.alias("a"), cut("texts", a), cut("before", a)))
+    t = t.select("book_id", "n", F.explode(segments).alias("s"))
+    a = F.col("s.a")
+
+    def shown(k: Column) -> Column:
+        def text(w: Column) -> Column:
+            rows = F.transform(F.slice("s.texts", (k - a + 1).cast("int"), w["shown"].cast("int")), lambda x, i: T.tag(k + i, x))
+            return F.struct(k.alias("start_idx"), F.col("n").alias("n"), w["grown"].alias("grown"), w["shown"].alias("shown"), F.array_join(rows, "\n").alias("prompt"))
+
+        return T.let(window_at(F.col("s.before"), F.col("n") - a, k - a), text)
+
+    return t.select("book_id", F.explode(F.transform(F.sequence(a, F.least(a + SEGMENT - 1, last)), shown)).alias("p")).select("book_id", "p.*")
 
 
 def joined_prompts(tagged: DataFrame, plan: DataFrame) -> DataFrame:
-    """The same text from paragraph rows: a range join within the book, and an ordered concatenation."""
-    rows = tagged.select("book_id", "para_idx", "tagged")
-    inside = plan.join(rows, "book_id").where((F.col("para_idx") >= F.col("start_idx")) & (F.col("para_idx") < F.col("start_idx") + F.col("shown")))
+    """The same text from paragraph rows: the positions shown, joined by book and position, and an ordered concatenation."""
+    places = F.explode(F.sequence("start_idx", F.col("start_idx") + F.col("shown") - 1))
+    inside = plan.select("book_id", "start_idx", places.alias("para_idx")).join(tagged.select("book_id", "para_idx", "tagged"), ["book_id", "para_idx"])
     pieces = F.array_sort(F.collect_list(F.struct("para_idx", "tagged")))
     return inside.groupBy("book_id", "start_idx").agg(F.array_join(F.transform(pieces, lambda x: x["tagged"]), "\n").alias("prompt"))
 
