@@ -68,13 +68,37 @@ def top_k(questions: DataFrame, corpus: DataFrame, k: int = 20, by: tuple[str, .
     return t.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
+#: Words of an anchor.
+ANCHOR = 3
+
+
+def _runs(words: Column) -> Column:
+    """(characters, number) of every run of ANCHOR words."""
+    at = lambda i: [F.get(words, i + k) for k in range(ANCHOR)]
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - ANCHOR), lambda i: F.struct(F.length(F.concat(*at(i))).alias("chars"), F.xxhash64(*at(i)).alias("run")))
+    return F.when(F.size(words) >= ANCHOR, runs)
+
+
 def containing(texts: DataFrame, golds: DataFrame, text: str = "text", chunk: str = "chunk_id", gold: str = "item_id", blocks: int = 1) -> DataFrame:
-    """(gold, chunk) of every text that holds a gold passage, ignoring case. golds: gold, passage (a stated set, in blocks)."""
-    lowered = golds.where("passage is not null").select(F.pmod(F.xxhash64(gold), F.lit(blocks)).alias("__block"), F.struct(gold, F.lower("passage").alias("p")).alias("g"))
-    gathered = lowered.groupBy("__block").agg(F.collect_list("g").alias("__gs"))
+    """(gold, chunk) of every text that holds a gold passage, ignoring case. golds: gold, passage (a stated set).
+
+    The words of a passage but its first and last stand whole in any text that holds it, so
+    its longest run of ANCHOR of them is looked up among the runs of the texts, and only
+    texts that have it are searched. Passages too short for that meet every text, in blocks.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    known = golds.where("passage is not null").select(gold, F.lower("passage").alias("__p"))
+    inner = F.slice(words("__p"), F.lit(2), F.greatest(F.lit(0), F.size(words("__p")) - 2))
+    known = known.withColumn("__run", F.array_max(_runs(inner))["run"])
+    lowered = texts.where(F.col(text).isNotNull()).select(chunk, F.lower(text).alias("__text"))
+    anchors = known.where("__run is not null")
+    runs = lowered.select(chunk, F.explode(F.array_distinct(F.transform(_runs(words("__text")), lambda x: x["run"]))).alias("__run"))
+    met = runs.join(anchors.select(gold, "__run"), "__run").select(chunk, gold).distinct()
+    found = met.join(lowered, chunk).join(anchors.select(gold, "__p"), gold).where(F.contains("__text", "__p")).select(chunk, gold)
+    gathered = known.where("__run is null").groupBy(F.pmod(F.xxhash64(gold), F.lit(blocks))).agg(F.collect_list(F.struct(F.col(gold), F.col("__p").alias("p"))).alias("__gs"))
     held = F.filter("__gs", lambda g: F.contains(F.col("__text"), g["p"]))
-    t = texts.select(chunk, F.lower(text).alias("__text")).crossJoin(gathered)  # a row for each block of passages
-    return t.select(chunk, F.explode(F.transform(held, lambda g: g[gold])).alias(gold))
+    short = lowered.crossJoin(gathered.select("__gs")).select(chunk, F.explode(F.transform(held, lambda g: g[gold])).alias(gold))  # a row for each block of short passages
+    return found.union(short)
 
 
 def first_relevant(ranked: DataFrame, texts: DataFrame, gold: DataFrame, by: tuple[str, ...] = (), question: str = "q_idx", chunk: str = "chunk_id") -> DataFrame:
