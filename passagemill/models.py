@@ -174,9 +174,13 @@ class LetterEmbedder:
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
         for text in texts:
-            words = text.split(" ")[: self.most_tokens]
-            vectors = np.array([[w.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for w in words], dtype=float).reshape(len(words), 26)
-            out.append((vectors, np.array([int(len(w) > self.short) for w in words])))
+            x = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+            word = np.cumsum(x == 32)  # of each byte; a space counts for none
+            words = int(word[-1]) + 1 if len(x) else 1
+            letter = (x >= 97) & (x <= 122)
+            counts = np.bincount(word[letter] * 26 + (x[letter] - 97), minlength=26 * words).reshape(words, 26)
+            sizes = np.bincount(word[(x != 32) & (x & 0xC0 != 0x80)], minlength=words)  # characters, not bytes
+            out.append((counts[: self.most_tokens].astype(float), (sizes[: self.most_tokens] > self.short).astype(int)))
         return out
 
 
