@@ -17,6 +17,18 @@ import regex
 from .functions.text import REFUSAL
 
 
+QUESTION_INSTRUCTION = (
+    'You are given an excerpt of the book "{title}" by {author}. Write one question (when, what or where) that this excerpt alone answers, '
+    "an answer of at most two sentences that stands on its own, and the sentence of the excerpt that proves it, quoted without gaps. Reply in this form:\n"
+    'Question: <question>\n\nAnswer: <answer>\n\nSupporting Passage: "<quotation>"\n'
+)
+
+
+def question_messages(chunk: str, title: str | None, author: str | None) -> tuple[str, str]:
+    """The instruction and the excerpt, as a question model is sent them."""
+    return QUESTION_INSTRUCTION.format(title=title or "untitled", author=author or "an unknown author"), f"Excerpt: {chunk}"
+
+
 @runtime_checkable
 class BoundaryModel(Protocol):
     """Maps a prompt to a reply. ``REFUSAL`` means that the model won't answer."""
@@ -59,6 +71,15 @@ class LexicalModel:
         return f"Answer: ID {-max(jumps)[1]}" if jumps else "No paragraph differs."
 
 
+class QuotingModel:
+    """The built-in question model: it asks for the place of a chunk's first line, which it quotes (less its quotation marks)."""
+
+    def ask(self, chunk: str, title: str, author: str) -> str:
+        line = chunk.partition("\n")[0].replace('"', "")
+        start = line.partition(" ")[0]
+        return f'Question: Where does {title} by {author} speak of {start}?\n\nAnswer: Where a line begins with {start}.\n\nSupporting Passage: "{line}"'
+
+
 @dataclass
 class ScriptedModel:
     """Gives its replies in turn (the last one from then on); a reply that is an exception is raised."""
@@ -84,10 +105,11 @@ class Patient:
     A refusal, known by ``refused``, isn't tried again.
     """
 
-    model: BoundaryModel
+    model: BoundaryModel | QuestionModel
     tries: int = 5
     first_wait: float = 1.0
     longest_wait: float = 60.0
+    #: fixed value: what the clients raise where an answer was blocked
     refused: Callable[[Exception], bool] = lambda e: str(e) == "list index out of range"
     sleep: Callable[[float], None] = time.sleep
 
@@ -96,9 +118,15 @@ class Patient:
             self.model.open()
 
     def complete(self, prompt: str) -> str | None:
+        return self._try(lambda: self.model.complete(prompt))
+
+    def ask(self, chunk: str, title: str, author: str) -> str | None:
+        return self._try(lambda: self.model.ask(chunk, title, author))
+
+    def _try(self, call: Callable[[], str]) -> str | None:
         for k in range(self.tries):
             try:
-                return self.model.complete(prompt)
+                return call()
             except Exception as e:  # noqa: BLE001  a client may raise anything
                 if self.refused(e):
                     return REFUSAL
@@ -122,7 +150,13 @@ class ChatModel:
         self.client = OpenAI(**self.options)
 
     def complete(self, prompt: str) -> str:
-        messages = ([{"role": "system", "content": self.system}] if self.system else []) + [{"role": "user", "content": prompt}]
+        return self._send(self.system, prompt)
+
+    def ask(self, chunk: str, title: str, author: str) -> str:
+        return self._send(*question_messages(chunk, title, author))
+
+    def _send(self, system: str | None, user: str) -> str:
+        messages = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": user}]
         return self.client.chat.completions.create(model=self.name, temperature=self.temperature, messages=messages).choices[0].message.content
 
 
@@ -138,9 +172,13 @@ class GenerativeModel:
         from vertexai.generative_models import HarmBlockThreshold, HarmCategory
 
         self.client = Client(self.name)
+        # fixed values: the service's four categories, whose thresholds are turned off
         kinds = (HarmCategory.HARM_CATEGORY_DANGEROUS_CONTENT, HarmCategory.HARM_CATEGORY_HATE_SPEECH, HarmCategory.HARM_CATEGORY_HARASSMENT, HarmCategory.HARM_CATEGORY_SEXUALLY_EXPLICIT)
         self.safety = dict.fromkeys(kinds, HarmBlockThreshold.BLOCK_NONE)
 
+    def ask(self, chunk: str, title: str, author: str) -> str:
+        return self.complete("\n".join(question_messages(chunk, title, author)))
+
     def complete(self, prompt: str) -> str:
         return self.client.generate_content(contents=prompt, generation_config={"temperature": self.temperature}, safety_settings=self.safety).candidates[0].content.parts[0].text
 
@@ -186,3 +224,9 @@ class LetterEmbedder:
 
 #: Boundary models by name, for the command line.
 MODELS: dict[str, Callable[[], BoundaryModel]] = {"lexical": LexicalModel, "chatgpt": lambda: Patient(ChatModel()), "gemini": lambda: Patient(GenerativeModel())}
+#: Question models by name.
+QUESTION_MODELS: dict[str, Callable[[], QuestionModel]] = {
+    "quoting": QuotingModel,
+    "chatgpt": lambda: Patient(ChatModel(temperature=0.3)),
+    "gemini": lambda: Patient(GenerativeModel(temperature=0.3)),
+}

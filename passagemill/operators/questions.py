@@ -12,15 +12,9 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import text as T
 
-INSTRUCTION = (
-    'You are given an excerpt of the book "{title}" by {author}. Write one question (when, what or where) that this excerpt alone answers, '
-    "an answer of at most two sentences that stands on its own, and the sentence of the excerpt that proves it, quoted without gaps. Reply in this form:\n"
-    'Question: <question>\n\nAnswer: <answer>\n\nSupporting Passage: "<quotation>"\n'
-)
-
-
 def message(chunk: str, title: str, author: str) -> str:
-    return INSTRUCTION.format(title=title, author=author) + f"Excerpt: {chunk}"
+    """What a question model is sent, as one text."""
+    return "\n".join(models.question_messages(chunk, title, author))
 
 
 def sampled(rows: DataFrame, group: str = "book_id", index: str = "chunk_id") -> DataFrame:

@@ -16,10 +16,26 @@ def _of(columns: str) -> T.StructType:
 
 PARAGRAPHS = _of("book_id bigint, book_name string, para_idx bigint, chapter string, text string")
 CHUNKS = _of("book_id bigint, book_name string, chunk_id bigint, start_idx bigint, end_idx bigint, chapter string, chunk string")
+ANNOTATED = _of("book_id bigint, book_name string, chunk_id bigint, chapter string, chunk string, question string, answer string, must_contain string")
+CORPORA = _of("book_id bigint, corpus string, chunk_id bigint, text string, embedding vector")
+QUERIES = _of("book_id bigint, queries string, q_idx bigint, q_vec vector")
 QUESTIONS = _of("book_id bigint, q_idx bigint, question string, answer string, must_contain string, proposition_answer string")
 EMBEDDINGS = _of("book_id bigint, method string, row_idx bigint, embedding vector")
 
 
+#: Column headings of the sheets, and the names that they have here.
+HEADINGS = {
+    "Book Name": "book_name",
+    "Book ID": "book_id",
+    "Chapter": "chapter",
+    "Chunk": "chunk",
+    "Propositions": "text",
+    "Question": "question",
+    "Answer": "answer",
+    "Chunk Must Contain": "must_contain",
+}
+
+
 class SchemaError(ValueError):
     """A table lacks a column, or has it in another type."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..schemas import conform
+from ..schemas import HEADINGS, conform
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None, required: list[str] | None = None) -> DataFrame:
@@ -54,10 +54,36 @@ def read_book_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_excel(spark: SparkSession, path: str, column: str) -> DataFrame:
     """(row_idx, text) of one column of a sheet. The sheet is read on the driver: ingest it once, to Parquet."""
+    return _sheet(spark, path, {column: "text"})
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """row_idx and the known columns of a sheet (paragraphs, chunks, propositions or questions), all as text."""
+    return _sheet(spark, path, HEADINGS)
+
+
+def _sheet(spark: SparkSession, path: str, headings: dict[str, str]) -> DataFrame:
     import pandas as pd
 
     frame = pd.read_excel(path)
-    if column not in frame:
-        raise LookupError(f"{path} has no column {column!r}")
-    rows = [(i, None if pd.isna(v) else str(v)) for i, v in enumerate(frame[column])]
-    return spark.createDataFrame(rows, "row_idx bigint, text string")
+    known = [c for c in frame.columns if c in headings]
+    if not known:
+        raise LookupError(f"{path} has none of the columns {', '.join(headings)}")
+    rows = [(i, *(None if pd.isna(v) else str(v) for v in row)) for i, row in enumerate(frame[known].itertuples(index=False))]
+    return spark.createDataFrame(rows, T.StructType([T.StructField("row_idx", T.LongType()), *(T.StructField(headings[c], T.StringType()) for c in known)]))
+
+
+def read_any(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
+    """A table of ``schema`` from Parquet, CSV (with a header line) or a sheet, by the ending of the path."""
+    if path.endswith(".xlsx"):
+        index = next((c for c in ("para_idx", "chunk_id", "q_idx") if c in schema.names), "row_idx")
+        df = read_sheet(spark, path).withColumnRenamed("row_idx", index)
+        df = df.withColumnRenamed("chunk", "text") if "chunk" not in schema.names else df
+        if "book_id" not in df.columns:  # a sheet holds one book
+            df = df.withColumn("book_id", F.lit(0).cast("long"))
+        return conform(df.withColumn("book_id", F.col("book_id").cast("long")), schema, required)
+    if path.endswith(".csv"):
+        df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        numbers = [f.name for f in schema if isinstance(f.dataType, T.LongType) and f.name in df.columns]
+        return conform(df.withColumns({c: F.col(c).cast("long") for c in numbers}), schema, required)
+    return read_parquet(spark, path, schema, required)
