@@ -15,7 +15,7 @@ from . import models
 from .functions import text as T
 from .functions import vectors as V
 from .operators import boundaries, chunks, embed, paragraphs, prompts, questions, retrieval, splitters
-from .plans import evaluate
+from .plans import ask, evaluate
 from .sources import scratch, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +194,17 @@ def seg_chunks_of_rows(spark, sf_dir):
     return chunks.assembled(boundaries.fold(books)).drop("chapter")
 
 
+#: Books of a hundred documents: some thousand paragraphs each.
+_LONG_P = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id // 100 AS book_id, t, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id, k) - 1 AS k FROM l)"
+
+
+@query(_CHUNKS_SQL.replace(_P, _LONG_P))
+def seg_long_books(spark, sf_dir):
+    rows = paragraphs.explode_paragraphs(_documents(spark, sf_dir)).select(T.div(F.col("book_id"), 100).alias("__long"), "book_id", "para_idx", "text")
+    rows = paragraphs.index_rows(rows, "__long", "book_id", "para_idx", index="__at").select(F.col("__long").alias("book_id"), F.col("__at").alias("para_idx"), "text")
+    return chunks.assembled(boundaries.fold(paragraphs.books_of_paragraphs(rows))).drop("chapter")
+
+
 _CHAPTERS_SQL = f"""WITH RECURSIVE {_CUT}, l AS (SELECT cut.book_id, chunk_id, 'c' || arg_min(p.k // 4, p.k) AS a, 'c' || arg_max(p.k // 4, p.k) AS z FROM cut JOIN p ON p.book_id = cut.book_id AND p.k >= start_idx AND p.k < end_idx GROUP BY ALL)
 SELECT book_id, chunk_id, CASE WHEN a = z THEN a ELSE a || ' and ' || z END AS chapter FROM l"""
 
@@ -241,7 +252,16 @@ class _Moody:
         return {0: models.REFUSAL, 1: "Nothing changes here.", 2: "Answer: ID none"}.get(first % 5) or models.LexicalModel().complete(prompt)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ANSWERS}, m AS (SELECT plan.book_id, plan.start_idx, plan.grown, plan.shown, answer,
+CASE WHEN plan.start_idx % 5 = 0 THEN 'refused' WHEN plan.start_idx % 5 = 2 THEN 'bad_reply' WHEN plan.start_idx % 5 = 1 OR answer IS NULL THEN 'unmatched' ELSE 'ok' END AS st
+FROM plan JOIN answers ON answers.book_id = plan.book_id AND answers.start_idx = plan.start_idx),
+f AS (SELECT *, st IN ('unmatched', 'bad_reply') AND grown = 1 AS still FROM m),
+walk(book_id, step, c, again) AS (SELECT DISTINCT book_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM plan
+UNION ALL SELECT walk.book_id, step + 1, CASE WHEN st = 'ok' THEN answer + 1 WHEN st = 'refused' THEN c + grown WHEN NOT still THEN c + grown - 1 WHEN again = 3 THEN c + 1 ELSE c END, CASE WHEN still AND again < 3 THEN again + 1 ELSE 0 END
+FROM walk JOIN f ON f.book_id = walk.book_id AND f.start_idx = c)
+SELECT walk.book_id, step, c AS start_idx, shown, CASE WHEN still AND again = 3 THEN 'no_progress' ELSE st END AS status, CASE WHEN st = 'ok' THEN answer END AS boundary FROM walk JOIN f ON f.book_id = walk.book_id AND f.start_idx = c"""
+)
 def model_failures(spark, sf_dir):
     steps = boundaries.reply_log(boundaries.ask(_books(spark, sf_dir), _Moody()))
     return steps.select("book_id", "step", "start_idx", "shown", "status", "boundary")
@@ -329,6 +349,18 @@ def qa_scatter(spark, sf_dir):
     return questions.scattered(rows.select("book_id", "chunk_id"), questions.parsed(asked))
 
 
+@query(
+    rf"""WITH r AS (SELECT coalesce(source, '') AS book_id, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS chunk_id, count(*) OVER (PARTITION BY coalesce(source, '')) AS n, replace(string_split(text, chr(10))[1], '"', '') AS line FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, CASE WHEN n < 160 THEN 1 ELSE CAST(ceil(n / 120) AS BIGINT) END AS step, split_part(line, ' ', 1) AS start FROM r),
+q AS (SELECT *, chunk_id % step = 0 AND line <> '' AS asked FROM s)
+SELECT book_id, chunk_id, CASE WHEN asked THEN 'Where does The ' || book_id || ' by A Writer speak of ' || start || '?' END AS question, CASE WHEN asked THEN 'Where a line begins with ' || start || '.' END AS answer, CASE WHEN asked THEN {_quote_sql("line")} END AS must_contain FROM q"""
+)
+def generate_questions(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("book_id"), "doc_id", F.col("text").alias("chunk"))
+    rows = paragraphs.index_rows(docs, "book_id", "doc_id", index="chunk_id").withColumn("book_name", F.concat(F.lit("The_"), "book_id", F.lit("_-_A_Writer")))
+    return ask.generate(rows, models.QuotingModel()).select("book_id", "chunk_id", "question", "answer", "must_contain")
+
+
 _NAMES = ["A_B_-_C_D", "One_-_Two_-_Three", "Lonely_Name"]
 
 
@@ -452,7 +484,7 @@ def macro_mean_dcg(spark, sf_dir):
     return _rounded(retrieval.macro_means(means, ()), "dcg", "recall")
 
 
-#: Stand-ins for corpora of other granularity: the same vectors, less the components outside a range; propositions are first lines.
+#: Stand-ins for corpora of other granularity: the same vectors, less the components outside a range.
 _RANGES = {"custom": (0, 64), "semantic": (0, 32), "paragraph": (32, 64), "recursive": (0, 16), "propositions": (16, 48)}
 
 
@@ -461,8 +493,7 @@ def _methods(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
     ranges = F.explode(F.array(*[F.struct(F.lit(c).alias("corpus"), F.lit(a).alias("a"), F.lit(z).alias("z")) for c, (a, z) in _RANGES.items()]))
     texts = _documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
     cut = F.transform("embedding", lambda x, i: F.when((i >= F.col("r.a")) & (i < F.col("r.z")), x).otherwise(0.0))
-    text = F.when(F.col("r.corpus") == "propositions", F.substring_index("text", "\n", 1)).otherwise(F.col("text"))
-    corpora = t.join(texts, "chunk_id").withColumn("r", ranges).select("book_id", F.col("r.corpus").alias("corpus"), "chunk_id", text.alias("text"), cut.alias("embedding"))
+    corpora = t.join(texts, "chunk_id").withColumn("r", ranges).select("book_id", F.col("r.corpus").alias("corpus"), "chunk_id", "text", cut.alias("embedding"))
     asked = _asked(t)
     both = asked.withColumn("queries", F.lit("questions")).union(asked.select("book_id", "q_idx", F.reverse("q_vec"), F.lit("hyde")))
     return evaluate.evaluate(corpora, both, _golds(spark, sf_dir), names)
@@ -472,9 +503,8 @@ def _method_sql(name: str) -> str:
     m = retrieval.method(name)
     a, z = _RANGES[m.corpus]
     q = "list_reverse(q.e)" if m.queries == "hyde" else "q.e"
-    text = "string_split(d.text, chr(10))[1]" if m.corpus == "propositions" else "d.text"
     gold = "third" if m.gold == "proposition_answer" else "gold"
-    return f"""SELECT q.label AS book_id, '{name}' AS method, q.vec_id AS q_idx, v.vec_id AS chunk_id, {text} AS text, gold.{gold} AS gold, list_dot_product({q}[{a + 1}:{z}], v.e[{a + 1}:{z}]) AS x
+    return f"""SELECT q.label AS book_id, '{name}' AS method, q.vec_id AS q_idx, v.vec_id AS chunk_id, d.text AS text, gold.{gold} AS gold, list_dot_product({q}[{a + 1}:{z}], v.e[{a + 1}:{z}]) AS x
 FROM q JOIN v ON q.label = v.label JOIN documents d ON d.doc_id = v.vec_id JOIN gold ON gold.q_idx = q.vec_id"""
 
 
