@@ -5,7 +5,8 @@ most twice its size, what is above going to the others by weight. The documents
 (source, shard) cell stand on a tape in seeded hash order; the tape is cut into blocks of
 near-equal size. Quotas of whole blocks go to sources, and then to the shards of each
 source, by highest quotients votes / (2 n + 1). A cell takes each block quota div blocks
-times and a seeded choice of the rest once more, so no word is taken over twice.
+times, and a run of the tape's blocks from a seeded place once more, so no word is taken over
+twice and only documents at the ends of a run are cut.
 
 Shards are by hash, the square root of the number of documents in all, so a hot source is
 spread over all of them, and neither a cell's tape nor the cells of a source grow faster
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS = (5, 2, 1)
-#: Primes far above any number of blocks in a cell: i -> (p * i + c) mod blocks is a permutation.
-_PRIMES = (2147483647, 1000000007, 998244353, 1000000009)
+#: Halvings of the search for a group's last quotient: down to neighbouring floating-point numbers.
+STEPS = 110
 
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
@@ -50,19 +51,32 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIG
 def seats(table: DataFrame, votes: str, most: str, total, by: list[str]) -> DataFrame:
     """Adds ``quota``: Sainte-Laguë seats of each row among the rows of equal ``by``, ``most`` at most, ``total`` in all.
 
-    Each row surely gets floor(votes) - 1; the few further seats are ranked by quotient.
+    The seats go to the highest quotients votes / (2 n + 1), n < most. A row has
+    floor((votes / q + 1) / 2) quotients of q or more, so the last quotient is found by
+    halving; of rows that tie there, the first by key and shard get what is left.
     """
-    base = F.greatest(F.lit(0), F.least(F.floor(votes) - 1, F.col(most)))
-    table = table.withColumn("__base", base.cast("long")).withColumn("__id", F.monotonically_increasing_id() if "__id" not in table.columns else F.col("__id"))
-    group = Window.partitionBy(*by)
-    table = table.withColumn("__left", total - F.sum("__base").over(group))
-    more = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("__k")).withColumn("__n", F.col("__base") + F.col("__k"))
-    open_ = (F.col("__n") < F.col(most)) & (F.col(votes) > 0)
-    quotient = F.when(open_, F.col(votes) / (2 * F.col("__n") + 1))
-    place = F.row_number().over(group.orderBy(quotient.desc_nulls_last(), "key", *(["shard"] if "shard" in table.columns else []), "__k"))
-    won = more.withColumn("__won", (open_ & (place <= F.col("__left"))).cast("long"))
-    keys = [c for c in table.columns if not c.startswith("__")]
-    return won.groupBy(*keys).agg((F.first("__base") + F.sum("__won")).alias("quota"))
+    held = lambda v, m, q: F.least(m, F.floor((v / q + 1) / 2)).cast("long")
+    groups = table.groupBy(*by).agg(F.max(total).alias("__total"), F.collect_list(F.when(F.col(votes) > 0, F.struct(F.col(votes).alias("v"), F.col(most).alias("m")))).alias("__rows"))
+
+    def seated(q):
+        return F.aggregate("__rows", F.lit(0).cast("long"), lambda a, x: a + held(x["v"], x["m"], q))
+
+    def halved(acc, _):
+        middle = (acc["lo"] + acc["hi"]) / 2
+        return F.when(seated(middle) >= F.col("__total"), F.struct(middle.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi")))
+
+    highest = F.coalesce(F.array_max(F.transform("__rows", lambda x: x["v"])), F.lit(0.0)) * 2 + 1
+    start = F.struct(F.lit(0.0).alias("lo"), highest.alias("hi"))  # none of hi or more; at 0 every seat that may be had
+    last = groups.withColumn("__q", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halved))
+    last = last.select(*by, "__q", (F.col("__total") - seated(F.col("__q.hi"))).alias("__left"))
+    t = table.join(last, by)
+    open_ = F.col(votes) > 0
+    t = t.withColumn("__base", F.when(open_, held(F.col(votes), F.col(most), F.col("__q.hi"))).otherwise(0).cast("long"))
+    every = F.when(F.col("__q.lo") > 0, held(F.col(votes), F.col(most), F.col("__q.lo"))).otherwise(F.col(most))
+    t = t.withColumn("__next", open_ & (every > F.col("__base")))
+    order = Window.partitionBy(*by, "__next").orderBy("key", *(["shard"] if "shard" in table.columns else []))
+    won = F.when(F.col("__next") & (F.row_number().over(order) <= F.col("__left")), 1).otherwise(0)
+    return t.withColumn("quota", (F.col("__base") + won).cast("long")).drop("__q", "__left", "__base", "__next")
 
 
 def spans(docs: DataFrame, seed: int = 17, block: int = 64, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, carry: list[str] = ()) -> DataFrame:
@@ -79,21 +93,20 @@ def spans(docs: DataFrame, seed: int = 17, block: int = 64, share: float = 1.5,
     cells = cells.withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / block))).otherwise(0).cast("long"))
     sources = cells.groupBy("key").agg(F.sum("blocks").alias("all_blocks")).join(goal, "key")
     sources = sources.withColumn("most", 2 * F.col("all_blocks")).withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("all_blocks") / F.col("source_size")).otherwise(0.0))
-    everywhere = sources.withColumn("__all", F.lit(1))
-    total = F.round(F.sum("votes").over(Window.partitionBy("__all"))).cast("long")
-    quotas = seats(everywhere.withColumn("n", total), "votes", "most", F.col("n"), ["n"]).select("key", "source_size", "target", "all_blocks", F.col("quota").alias("source_quota"))
+    total = F.round(F.sum("votes").over(Window.partitionBy(F.lit(1)))).cast("long")
+    quotas = seats(sources.withColumn("n", total), "votes", "most", F.col("n"), ["n"]).select("key", "source_size", "target", "all_blocks", F.col("quota").alias("source_quota"))
     cells = cells.join(quotas, "key").withColumn("most", 2 * F.col("blocks"))
     cells = cells.withColumn("votes", F.when(F.col("all_blocks") > 0, F.col("source_quota") * F.col("blocks") / F.col("all_blocks")).otherwise(0.0))
     cells = seats(cells, "votes", "most", F.col("source_quota"), ["key"]).select("key", "shard", "words", "blocks", "quota", "source_size", "target")
     tape = Window.partitionBy("key", "shard").orderBy("mix", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = small.withColumn("s", F.coalesce(F.sum("size").over(tape), F.lit(0))).withColumn("e", F.col("s") + F.col("size")).join(cells, ["key", "shard"])
-    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in _PRIMES]), (F.pmod(F.xxhash64("key", "shard"), F.lit(len(_PRIMES))) + 1).cast("int"))
-    placed = placed.withColumn("p", prime).withColumn("c", F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.lit(1 << 30)))
+    once_more = F.when(F.col("blocks") > 0, F.expr("quota % blocks")).otherwise(0)
+    placed = placed.withColumn("c", F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.col("blocks") - once_more + 1))
     parts = F.expr("""
         filter(transform(sequence(greatest(0L, s * blocks div words - 1), least(blocks - 1, e * blocks div words + 1)), i -> struct(
             greatest(s, i * words div blocks) - s as start,
             least(e, (i + 1) * words div blocks) - greatest(s, i * words div blocks) as n,
-            quota div blocks + if(pmod(p * i + c, blocks) < quota % blocks, 1L, 0L) as times)), x -> x.n > 0 and x.times > 0)
+            quota div blocks + if(i >= c and i < c + quota % blocks, 1L, 0L) as times)), x -> x.n > 0 and x.times > 0)
     """)
     none = F.array().cast("array<struct<start:bigint,n:bigint,times:bigint>>")
     placed = placed.withColumn("parts", F.when((F.col("size") > 0) & (F.col("quota") > 0), parts).otherwise(none))
@@ -104,16 +117,19 @@ def spans(docs: DataFrame, seed: int = 17, block: int = 64, share: float = 1.5,
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: up to two rows a document, of the words that are taken once and twice; columns as given.
 
-    A document taken whole keeps its text; of others the taken words are joined by spaces. n_chars follows the text.
+    A document taken whole keeps its text; of others the taken words stay with the white
+    space that follows them, up to the last one. n_chars follows the text.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     took = spans(docs.select("doc_id", "source", "text", row), carry=["__row"], **options)
     copies = took.withColumn("__copy", F.explode(F.array(F.lit(1), F.lit(2))))
     copies = copies.withColumn("__own", F.expr("filter(parts, x -> x.times >= __copy)")).where("size(__own) > 0")
     whole = F.expr("aggregate(__own, 0L, (a, x) -> a + x.n)") == F.col("size")
-    words = F.split(F.regexp_replace(F.col("__row.text"), f"^{common.GAP}", ""), common.GAP)
+    # words with what follows them, but only of documents that are cut
+    words = F.split(F.regexp_replace(F.col("__row.text"), f"^{common.GAP}", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     copies = copies.withColumn("__words", F.when(~whole, words))
-    text = F.when(whole, F.col("__row.text")).otherwise(F.expr("array_join(flatten(transform(__own, x -> slice(__words, cast(x.start + 1 as int), cast(x.n as int)))), ' ')"))
+    cut = F.expr("array_join(flatten(transform(__own, x -> slice(__words, cast(x.start + 1 as int), cast(x.n as int)))), '')")
+    text = F.when(whole, F.col("__row.text")).otherwise(F.regexp_replace(cut, f"{common.GAP}$", ""))
     copies = copies.withColumn("__text", text)
     changed = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return copies.select(*[(changed[c] if c in changed else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])

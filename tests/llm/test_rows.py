@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import oracle
@@ -368,6 +369,37 @@ def check_mix(out, docs, near=0.02):
         assert abs(taken[s] - want[s]) <= near * want[s] + 200, (s, taken[s], want[s])
 
 
+def highest_quotients(rows, total):
+    """rows: (votes, most); seats one by one to the highest quotient, ties to the first row."""
+    seats = [0] * len(rows)
+    for _ in range(total):
+        open_ = [i for i, (v, m) in enumerate(rows) if v > 0 and seats[i] < m]
+        if not open_:
+            break
+        best = max(open_, key=lambda i: (Fraction(rows[i][0]) / (2 * seats[i] + 1), -i))
+        seats[best] += 1
+    return seats
+
+
+def test_seats_are_those_of_the_highest_quotients(spark):
+    rng = np.random.default_rng(11)
+    groups = [[(0.4, 9)] * 100 + [(60.0, 200)], [(0.6, 9)] * 100 + [(40.0, 200)], [(1.0, 1)] * 5 + [(0.0, 4)], [(0.0, 3)], [(7.0, 2), (3.0, 50), (3.0, 50)]]
+    totals = [100, 100, 9, 4, 17]
+    for _ in range(25):
+        n = int(rng.integers(1, 40))
+        votes = rng.integers(0, 50, n).astype(float) if rng.random() < 0.5 else rng.exponential(3, n)
+        groups.append([(float(v), int(m)) for v, m in zip(votes, rng.integers(0, 30, n), strict=True)])
+        totals.append(int(rng.integers(0, 200)))
+    rows = [(g, f"{k:04d}", v, m, totals[g]) for g, part in enumerate(groups) for k, (v, m) in enumerate(part)]
+    t = spark.createDataFrame(rows, "g int, key string, v double, m bigint, total bigint")
+    got = defaultdict(dict)
+    for r in mixing.seats(t, "v", "m", F.col("total"), ["g"]).collect():
+        got[r["g"]][int(r["key"])] = r["quota"]
+    for g, part in enumerate(groups):
+        assert [got[g][k] for k in range(len(part))] == highest_quotients(part, totals[g]), g
+    assert got[0][100] == 75 and got[1][100] == 33
+
+
 def test_op7_meets_its_targets(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
     out = queries.op7_source_mixing(spark, SF).collect()
@@ -401,6 +433,8 @@ def test_mixed_texts_are_runs_of_their_documents(spark):
         own = WORD.findall(text[i])
         assert len(rows) <= 2 and sum(map(len, rows)) == taken[i]
         assert all(not Counter(r) - Counter(own) for r in rows)
+    cut = [(text[r["doc_id"]], r["text"]) for r in mixing.mixed_documents(docs).collect() if r["text"] != text[r["doc_id"]]]
+    assert cut and all(t in whole for whole, t in cut)  # one run of the document, line ends and all
     assert all(i in got for i, n in taken.items() if n)
 
 
