@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: The word of every contract: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -23,37 +26,80 @@ def crc_mod(mod: int, column: str = "doc_id"):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder that the cluster names; makes one only where none is set (tests, local runs)."""
+    """Keeps the folder that the cluster names; makes one only where none is set and Spark is local."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="passagemill-"))
+        spark.sparkContext.setCheckpointDir(scratch.base(spark))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_sample(texts: DataFrame, labels: DataFrame, label: str, max_docs: int, seed: int = 11) -> list[tuple[str, object]]:
-    """(text, label) of at most about ``max_docs`` rows, chosen by a hash of the id, in hash order.
+def chosen_labels(labels: DataFrame, label: str, max_docs: int, seed: int) -> DataFrame:
+    """(doc_id, y, mix) of the ``max_docs`` labelled rows of smallest hash of the id: a table of that many rows at most."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"))
+    return known.withColumn("mix", F.xxhash64("doc_id", F.lit(seed))).orderBy("mix", "doc_id", "y").limit(max_docs)
+
+
+def labelled_sample(texts: DataFrame, labels: DataFrame, label: str, max_docs: int, seed: int = 11, max_bytes: int = 256 << 20) -> list[tuple[str, object]]:
+    """(text, label) of at most ``max_docs`` rows, chosen by a hash of the id, in hash order.
 
-    Only ids and labels are counted and sampled first, so the broadcast side is
-    bounded by ``max_docs`` rows; texts are whole, of any length.
+    Texts are whole, of any length; once those before hold ``max_bytes`` no more are taken.
+    Of several texts under one id the first in order is meant. Ids and labels are chosen
+    first, so what is broadcast and collected is bounded by both parameters.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"))
-    n = known.count()
-    if not n:
-        return []
-    share = min(1.0, max_docs / n)
-    mix = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000))
-    chosen = known.withColumn("mix", mix).where(F.col("mix") < int(share * 1_000_000) + 1)
-    rows = (
-        texts.select("doc_id", "text")
-        .where(F.col("text").isNotNull())
-        .join(F.broadcast(chosen), "doc_id")
-        .select("mix", "doc_id", "text", "y")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["mix"], r["doc_id"], str(r["y"])))
-    return [(r["text"], r["y"]) for r in rows[: int(max_docs * 1.1) + 10]]
+    chosen = chosen_labels(labels, label, max_docs, seed)
+    found = texts.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("mix", "doc_id", "y").agg(F.min("text").alias("text"))
+    above = Window.orderBy("mix", "doc_id", "y").rowsBetween(Window.unboundedPreceding, -1)  # of max_docs rows at most
+    kept = one.withColumn("before", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(above), F.lit(0))).where(F.col("before") < max_bytes)
+    rows = sorted(kept.select("mix", "doc_id", "y", "text").collect(), key=lambda r: (r["mix"], r["doc_id"], str(r["y"])))
+    return [(r["text"], r["y"]) for r in rows]
+
+
+# --- groups that may be hot -------------------------------------------------------------------------
+
+#: Salts of joins on a key that may be hot (bits of a long).
+SPREAD = 64
+#: Rows, and bytes, of the groups that a task holds at once; a larger group is held whole.
+RUN_ROWS, RUN_BYTES = 20_000, 16 << 20
+
+
+def salt(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
+
+
+def salts():
+    """Aggregate: the values of ``salt`` that occur."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def by_salt(t: DataFrame) -> DataFrame:
+    """A row for each of the salts."""
+    return t.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SPREAD - 1}), s -> getbit(salts, s) = 1)"))).drop("salts")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about RUN_ROWS rows or RUN_BYTES, from batches that are sorted by ``key``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in (b.slice(i, step) for b in batches if b.num_rows for step in [max(1, int(b.num_rows * min(1.0, RUN_BYTES / b.nbytes)))] for i in range(0, b.num_rows, step)):
+        held.append(batch)
+        size += batch.num_rows
+        if size < RUN_ROWS and sum(b.nbytes for b in held) < RUN_BYTES:
+            continue
+        table = pa.Table.from_batches(held)
+        last, same = size - 1, np.ones(size, dtype=bool)
+        for c in key:
+            values = table[c].to_numpy()
+            same &= values == values[last]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            size -= cut
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 # --- byte n-grams ---------------------------------------------------------------------------------
@@ -99,6 +145,27 @@ def chunks(texts: list[bytes], most: int = 1 << 18):
         yield at, len(texts)
 
 
+def at_spaces(texts: list[bytes], most: int = 1 << 18) -> tuple[list[bytes], np.ndarray]:
+    """Normal texts in pieces of about ``most`` bytes, and the text that each is of.
+
+    A cut is at a space, which both pieces hold: every n-gram that lies in one word is in one piece.
+    """
+    pieces, of = [], []
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > most:
+            cut = t.rfind(b" ", at + 1, at + most)
+            cut = cut if cut > 0 else t.find(b" ", at + most)
+            if not 0 < cut < len(t) - 1:
+                break
+            pieces.append(t[at : cut + 1])
+            of.append(i)
+            at = cut
+        pieces.append(t[at:])
+        of.append(i)
+    return pieces, np.array(of, np.int64)
+
+
 def train_subwords(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, bits: int, dim: int = 16, epochs: int = 6, rate: float = 0.3, seed: int = 5, weight: np.ndarray | None = None):
     """Joint SGD (adaptive step per row) of bucket embeddings and a linear softmax over their average.
 

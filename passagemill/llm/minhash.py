@@ -41,10 +41,6 @@ K, ROWS = 80, 4
 PART, PART_SHINGLES = 512, 500_000
 #: Pairs that are compared at once.
 PAIRS = 1 << 15
-#: Rows, and bytes, of the groups that a task holds at once (a larger group is held whole: two parts).
-RUN_ROWS, RUN_BYTES = 20_000, 16 << 20
-#: Salts of joins on a bucket or a leader (bits of a long).
-SPREAD = 64
 
 
 def shingles(text: bytes | None, size: int = 5, weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +79,8 @@ def dart_sets(values: np.ndarray, weights: np.ndarray, cut: np.ndarray, k: int =
     every coordinate probably has one, and doubles it where one hasn't.
     """
     sets = len(cut) - 1
+    if sets == 1 and len(values) > SLICE:
+        return _wide_set(values, weights, k, seed)[None]
     pieces = np.ceil(weights).astype(np.int64)
     element = np.repeat(np.arange(len(values)), pieces)
     piece = np.arange(len(element)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -115,6 +113,33 @@ def dart_sets(values: np.ndarray, weights: np.ndarray, cut: np.ndarray, k: int =
         _land(ids, h, own, rank, room, best, name, k)
 
 
+#: Elements of a set that are thrown at once; larger sets go slice by slice.
+SLICE = 1 << 17
+
+
+def _wide_set(values: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The signature of one set that is not empty, of any size, with the work arrays of a slice."""
+    reach = (k * math.log(k) + 2 * k) / float(weights.sum())
+    while True:
+        best, name = np.full(k, np.inf), np.zeros(k, np.uint64)
+        for at in range(0, len(values), SLICE):
+            v, w = values[at : at + SLICE], weights[at : at + SLICE]
+            pieces = np.ceil(w).astype(np.int64)
+            element = np.repeat(np.arange(len(v)), pieces)
+            piece = np.arange(len(element)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            base = windows._mix(v[element] + windows._mix(piece.astype(np.uint64) + np.uint64(seed << 20)))
+            own, rank, room, ids, thrown = np.zeros(len(base), np.int64), np.zeros(len(base)), w[element] - piece, np.arange(len(base)), 0
+            while len(ids):
+                thrown += 1
+                h = windows._mix(base[ids] ^ windows._mix(np.array([thrown], np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+                rank[ids] -= np.log((windows._mix(h ^ np.uint64(0xA5A5)).astype(np.float64) + 1) / 18446744073709551617.0)
+                ids, h = ids[near := rank[ids] <= reach], h[near]
+                _land(ids, h, own, rank, room, best, name, k)
+        if np.isfinite(best).all():
+            return name
+        reach *= 2
+
+
 def _land(ids, h, own, rank, room, best, name, k) -> None:
     """Keeps the earliest dart of each coordinate of each set."""
     ok = (h >> np.uint64(11)).astype(np.float64) / 9007199254740992.0 <= room[ids]
@@ -148,20 +173,6 @@ def _set(v: pa.Scalar, w: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return values, np.frombuffer(w.as_buffer(), np.float32).astype(float) if len(w.as_buffer()) else np.ones(len(values))
 
 
-def _salt(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
-
-
-def _salts():
-    """Aggregate: the salts that occur."""
-    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
-
-
-def _by_salt(t: DataFrame) -> DataFrame:
-    """A row for each of the salts."""
-    return t.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SPREAD - 1}), s -> getbit(salts, s) = 1)"))).drop("salts")
-
-
 def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Rows that stand below their leader: a table of a batch's rows, and the places of members and of their leaders in it."""
     held = None
@@ -182,10 +193,10 @@ def _stars(stars: DataFrame, known: DataFrame, sets: DataFrame, threshold: float
 
     def dealt(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """Members below their leaders: the columns of ``rows`` for both, at most PART members a part."""
-        salted = pairs.withColumn("salt", _salt("tid"))
-        sizes = salted.groupBy("leader").agg(F.count("*").alias("c"), _salts())
+        salted = pairs.withColumn("salt", common.salt("tid"))
+        sizes = salted.groupBy("leader").agg(F.count("*").alias("c"), common.salts())
         sizes = sizes.withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
-        members = salted.join(_by_salt(sizes.select("leader", "parts", "salts")), ["leader", "salt"])
+        members = salted.join(common.by_salt(sizes.select("leader", "parts", "salts")), ["leader", "salt"])
         members = members.select("leader", F.pmod(F.xxhash64("tid"), "parts").cast("int").alias("part"), F.lit(False).alias("lead"), "tid")
         heads = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"), F.col("leader").alias("tid"))
         both = members.join(rows, "tid").unionByName(heads.join(rows, "tid"))
@@ -218,29 +229,6 @@ def _first_shared(x: np.ndarray, y: np.ndarray, bands: int, rows: int) -> np.nda
     return (x == y)[:, : bands * rows].reshape(len(x), rows, bands).all(axis=1).argmax(axis=1)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups, of about RUN_ROWS rows or RUN_BYTES, from batches that are sorted by ``key``."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in (b.slice(i, step) for b in batches if b.num_rows for step in [max(1, int(b.num_rows * min(1.0, RUN_BYTES / b.nbytes)))] for i in range(0, b.num_rows, step)):
-        held.append(batch)
-        size += batch.num_rows
-        if size < RUN_ROWS and sum(b.nbytes for b in held) < RUN_BYTES:
-            continue
-        table = pa.Table.from_batches(held)
-        last, same = size - 1, np.ones(size, dtype=bool)
-        for c in key:
-            values = table[c].to_numpy()
-            same &= values == values[last]
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield table.slice(0, cut)
-            held = table.slice(cut).combine_chunks().to_batches()
-            size -= cut
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _pairs_within(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (p, q), p of ``left`` and q > p or of ``right`` only, that share a group (ascending), in runs of about PAIRS."""
     ends = np.searchsorted(group, group, side="right")
@@ -268,7 +256,7 @@ def _across(members: DataFrame, known: DataFrame, found: DataFrame, sets: DataFr
     m = members.join(known.select("tid", "rep", "n"), "tid")
     m = m.join(found.select(F.col("id").alias("rep"), F.col("component").alias("class")), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     m = m.select("band", "h", "salt", "tid", "rep", "class", "n")
-    per = m.groupBy("band", "h", "class").agg(F.count("*").alias("c"), F.sum("n").alias("s"), _salts())
+    per = m.groupBy("band", "h", "class").agg(F.count("*").alias("c"), F.sum("n").alias("s"), common.salts())
     most = F.struct("c", "class")
     mixed = per.groupBy("band", "h").agg(
         F.count("*").alias("classes"), F.max(most).alias("main"), F.max_by("s", most).alias("main_s"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.bit_or("salts").alias("salts")
@@ -279,7 +267,7 @@ def _across(members: DataFrame, known: DataFrame, found: DataFrame, sets: DataFr
         "band", "h", "large", "salts", F.col("main.class").alias("main"),
         parts(F.col("c") - F.col("main.c"), F.col("s") - F.col("main_s")).alias("others"), parts(F.col("main.c"), F.col("main_s")).alias("mains"),
     )
-    m = m.join(_by_salt(mixed), ["band", "h", "salt"]).join(known.select("tid", "sig"), "tid").withColumn("in_main", F.col("large") & (F.col("class") == F.col("main")))
+    m = m.join(common.by_salt(mixed), ["band", "h", "salt"]).join(known.select("tid", "sig"), "tid").withColumn("in_main", F.col("large") & (F.col("class") == F.col("main")))
     spread = F.xxhash64("tid")
     m = m.withColumn("salt", F.when(~F.col("large"), 0).when(F.col("in_main"), F.col("others") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "others")).cast("long"))
     last = F.when(~F.col("large"), 0).when(F.col("in_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).cast("long")
@@ -305,13 +293,13 @@ def _across(members: DataFrame, known: DataFrame, found: DataFrame, sets: DataFr
         return group, *(np.concatenate(x) for x in zip(*out))
 
     def partners(batches):
-        for table in _runs(batches, _KEY):
+        for table in common.whole_groups(batches, _KEY):
             _, p, q, _ = pairs_of(table)
             if len(p):
                 yield from table.take(pa.array(np.unique(np.concatenate([p, q])))).to_batches()
 
     def verify(batches):
-        for table in _runs(batches, _KEY):
+        for table in common.whole_groups(batches, _KEY):
             group, p, q, equal = pairs_of(table)
             ids, own, v, w = table["rep"].to_numpy(), table["class"].to_numpy(), table["v"], table["w"]
             parent: dict[tuple[int, int], tuple[int, int]] = {}
@@ -376,9 +364,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K,
     # a distinct text has a number of its own, as one doc_id may have several; it is fixed by the checkpoint
     reps = reps.withColumn("tid", F.monotonically_increasing_id()).checkpoint()
     known = reps.select("tid", "rep", "n", "sig")
-    banded = reps.select("tid", F.posexplode("bands").alias("band", "h")).withColumn("salt", _salt("tid"))
-    shared = banded.groupBy("band", "h").agg(F.count("*").alias("c"), F.min("tid").alias("leader"), _salts()).where("c > 1").drop("c")
-    members = banded.join(_by_salt(shared), ["band", "h", "salt"]).checkpoint()
+    banded = reps.select("tid", F.posexplode("bands").alias("band", "h")).withColumn("salt", common.salt("tid"))
+    shared = banded.groupBy("band", "h").agg(F.count("*").alias("c"), F.min("tid").alias("leader"), common.salts()).where("c > 1").drop("c")
+    members = banded.join(common.by_salt(shared), ["band", "h", "salt"]).checkpoint()
     needed = members.select("tid").distinct().join(reps.select("tid", "k1", "k2", "rep"), "tid")
 
     def hashed(batches):

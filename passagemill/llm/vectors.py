@@ -9,6 +9,9 @@ dropped, all others are computed exactly in double precision. A pair counts in t
 band that it shares, so each link counts once and no pair list is made. Large buckets are
 split by salt, and pairs of parts go to different tasks.
 
+A bucket is first met by codes, and by vectors rounded to a byte a component (the rounding
+is added to the bound). Whole vectors go only to the buckets where some pair is left.
+
 Band width and number follow from the number of vectors and the threshold: a pair at the
 threshold is missed with a probability of at most ``miss``.
 
@@ -24,13 +27,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 PART = 1024
-_FOUND = "vec_id long, links long, root long"
+_KEY = ["dim", "band", "key", "i", "j"]
+_ROW = "dim int, band int, key long, tid long, code binary, rounded binary, step float, factor float"
+_LEFT = "dim int, band int, key long, i long, j long, salt long, tid long, code binary"
+_FOUND = "tid long, vec_id long, links long, root long"
 
 
 def bands_for(n: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -47,25 +54,28 @@ def rotations(dim: int, count: int, seed: int) -> np.ndarray:
 
 
 def encode(x: np.ndarray, turn: np.ndarray, bits: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code bits of the first rotation, its correction factors, and the band keys of unit rows ``x``."""
+    """Sign bits of all rotations (those of the first are the code), correction factors, and the band keys of unit rows ``x``."""
     dim = x.shape[1]
     up = x @ turn.T > 0
     factor = np.abs(x @ turn[:dim].T).sum(axis=1) / math.sqrt(dim)
     weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     keys = (up[:, : bits * bands].reshape(len(x), bands, bits) * weights).sum(axis=2, dtype=np.uint64)
-    return up[:, :dim], factor, keys
+    return up, factor, keys
 
 
-def candidates(rotated: np.ndarray, codes: np.ndarray, factor: np.ndarray, threshold: float, sure: float) -> np.ndarray:
+def candidates(rotated: np.ndarray, codes: np.ndarray, factor: np.ndarray, threshold: float, sure: float, off: np.ndarray | None = None) -> np.ndarray:
     """Pairs (code row, vector row) whose estimate plus bound reaches the threshold.
 
     <code, q> / factor estimates <x, q> without bias; its error is within
     sure * sqrt((1 - factor^2) / factor^2 / (dim - 1)) but for a vanishing probability.
+    off: how far a component of each vector row may be from that of the vector.
     """
     dim = rotated.shape[1]
     signs = np.where(codes, np.float32(1 / math.sqrt(dim)), np.float32(-1 / math.sqrt(dim)))
     estimate = (signs @ rotated.astype(np.float32).T) / factor[:, None].astype(np.float32)
     bound = sure * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(dim - 1, 1))
+    if off is not None:
+        estimate += (math.sqrt(dim) * off[None, :] / factor[:, None]).astype(np.float32)
     return np.argwhere(estimate + bound[:, None].astype(np.float32) >= threshold - 1e-5)
 
 
@@ -90,7 +100,9 @@ def link(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-4, sure:
     fine = F.expr("vec_id is not null and e is not null and not exists(e, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(e, x -> x <> 0)")
     keys = [F.xxhash64("e").alias("k1"), F.xxhash64("e", F.lit(seed)).alias("k2")]
     keyed = rows.select("vec_id", F.coalesce(fine, F.lit(False)).alias("fine"), *keys, "e")
-    reps = keyed.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("e").alias("e")).checkpoint()
+    reps = keyed.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("e").alias("e"))
+    # a distinct vector has a number of its own, as one vec_id may have several; it is fixed by the checkpoint
+    reps = reps.withColumn("tid", F.monotonically_increasing_id()).checkpoint()
     total = reps.count()
     bits, bands = bands_for(total, threshold, miss)
     turned: dict[int, np.ndarray] = {}
@@ -100,62 +112,104 @@ def link(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-4, sure:
             turned[dim] = rotations(dim, -(-bits * bands // dim), seed)
         return turned[dim]
 
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
     def emit(batches):
         for frame in batches:
             frame["dim"] = frame["e"].map(len)
             for dim, part in frame.groupby("dim"):
-                x = np.stack(part["e"].to_numpy())
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                codes, factor, keys = encode(x, turn_for(dim), bits, bands)
-                raw = [v.tobytes() for v in x]
-                bands_raw = [k.tobytes() for k in keys]
-                code_raw = [c.tobytes() for c in np.packbits(codes, axis=1)]
-                for band in range(bands):
-                    yield pd.DataFrame({"dim": int(dim), "band": band, "key": keys[:, band].astype(np.int64), "rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "x": raw, "keys": bands_raw, "code": code_raw, "factor": factor})
-
-    coded = reps.select("rep", "n", "e").mapInPandas(emit, "dim int, band int, key long, rep long, n long, x binary, keys binary, code binary, factor double")
+                for at in range(0, len(part), 1024):
+                    few = part.iloc[at : at + 1024]
+                    x = unit(np.stack(few["e"].tolist()))
+                    up, factor, keys = encode(x, turn_for(dim), bits, bands)
+                    rotated = x @ turn_for(dim)[:dim].T
+                    step = np.abs(rotated).max(axis=1) / 127
+                    rounded = [r.tobytes() for r in np.rint(rotated / step[:, None]).astype(np.int8)]
+                    code = [c.tobytes() for c in np.packbits(up[:, : max(dim, bits * bands)], axis=1)]
+                    for band in range(bands):
+                        yield pd.DataFrame({"dim": int(dim), "band": band, "key": keys[:, band].astype(np.int64), "tid": few["tid"].to_numpy(), "code": code, "rounded": rounded, "step": step.astype(np.float32), "factor": factor.astype(np.float32)})
+
+    coded = reps.select("tid", "e").mapInPandas(emit, _ROW).withColumn("salt", common.salt("tid"))
     bucket = ["dim", "band", "key"]
-    large = coded.groupBy(*bucket).agg(F.count("*").alias("m")).where(F.col("m") > PART)
+    large = coded.groupBy(*bucket).agg(F.count("*").alias("m"), common.salts()).where(F.col("m") > PART)
     parts = F.coalesce(F.ceil(F.col("m") / PART), F.lit(1))
-    dealt = coded.join(large, bucket, "left").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    dealt = coded.join(common.by_salt(large), [*bucket, "salt"], "left").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("tid"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).drop("other", "m", "parts")
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep", kind="stable").reset_index(drop=True)
-        dim, band, i, j = (int(frame[c].iloc[0]) for c in ("dim", "band", "i", "j"))
-        ids, n, salt, factor = (frame[c].to_numpy() for c in ("rep", "n", "salt", "factor"))
-        x = np.frombuffer(b"".join(frame["x"]), np.float64).reshape(len(frame), dim)
-        keys = np.frombuffer(b"".join(frame["keys"]), np.uint64).reshape(len(frame), -1)
-        codes = np.unpackbits(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), axis=1, count=dim).astype(bool)
-        rotated = x @ turn_for(dim)[:dim].T
-        left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
-        links, ends = np.zeros(len(frame), np.int64), [np.zeros((0, 2), np.int64)]
+    def groups(batches):
+        """Each group of a bucket's parts: its number of components, band, rows, and those of part i and of part j."""
+        for table in common.whole_groups(batches, _KEY):
+            cols = [table[c].to_numpy() for c in _KEY]
+            cut = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist(), len(table)]
+            for a, b in zip(cut, cut[1:]):
+                if b - a > 1:
+                    part = table.slice(a, b - a)
+                    salt = part["salt"].to_numpy()
+                    yield int(cols[0][a]), int(cols[1][a]), part, np.flatnonzero(salt == cols[3][a]), np.flatnonzero(salt == cols[4][a]), cols[3][a] == cols[4][a]
+
+    def likely(left, right, same, rotated, codes, factor, off=None):
+        """Pairs of rows that the estimate leaves, in runs."""
         for at in range(0, len(left), 256):
             a = left[at : at + 256]
-            pairs = candidates(rotated[right], codes[a], factor[a], threshold, sure)
+            pairs = candidates(rotated[right], codes[a], factor[a], threshold, sure, None if off is None else off[right])
             p, q = a[pairs[:, 0]], right[pairs[:, 1]]
-            if i == j:
-                p, q = p[p < q], q[p < q]
-            for k in range(0, len(p), 1 << 16):
-                u, v = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
-                near = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
-                u, v = u[near], v[near]
-                first = (keys[u] == keys[v]).argmax(axis=1) == band
-                u, v = u[first], v[first]
-                np.add.at(links, u, n[v])
-                np.add.at(links, v, n[u])
-                ends.append(np.stack([u, v], axis=1))
-        ends = np.concatenate(ends)
-        root = _roots(len(frame), ends[:, 0], ends[:, 1], ids)
-        some = links > 0
-        return pd.DataFrame({"vec_id": ids[some], "links": links[some], "root": root[some]})
-
-    found = dealt.groupBy(*bucket, "i", "j").applyInPandas(search, _FOUND).checkpoint()
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
+            yield (p[p < q], q[p < q]) if same else (p, q)
+
+    def packed(column, rows: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(rows, -1)
+
+    def first_shared(code: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The first band whose bits agree."""
+        same = code[p, : bits * bands] == code[q, : bits * bands]
+        return same.reshape(len(p), bands, bits).all(axis=2).argmax(axis=1)
+
+    def left_over(batches):
+        for dim, band, part, left, right, same in groups(batches):
+            rows = len(part)
+            code = np.unpackbits(packed(part["code"], rows), axis=1).astype(bool)
+            step, factor = part["step"].to_numpy(), part["factor"].to_numpy().astype(float)
+            rotated = packed(part["rounded"], rows).view(np.int8) * step[:, None]
+            some = np.zeros(rows, dtype=bool)
+            for p, q in likely(left, right, same, rotated, code[:, :dim], factor, step * 0.5001):
+                for k in range(0, len(p), 1 << 16):
+                    u, v = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+                    first = first_shared(code, u, v) == band
+                    some[u[first]] = some[v[first]] = True
+            if some.any():
+                yield from part.select(["dim", "band", "key", "i", "j", "salt", "tid", "code"]).take(pa.array(np.flatnonzero(some))).to_batches()
+
+    def search(batches):
+        for dim, band, part, left, right, same in groups(batches):
+            rows = len(part)
+            x = unit(part["e"].combine_chunks().flatten().to_numpy().reshape(rows, dim))
+            tid, ids, n = (part[c].to_numpy() for c in ("tid", "rep", "n"))
+            rotated = x @ turn_for(dim)[:dim].T
+            code, factor = np.unpackbits(packed(part["code"], rows), axis=1).astype(bool), np.abs(rotated).sum(axis=1) / math.sqrt(dim)
+            links, ends = np.zeros(rows, np.int64), [np.zeros((0, 2), np.int64)]
+            for p, q in likely(left, right, same, rotated, code[:, :dim], factor):
+                for k in range(0, len(p), 1 << 16):
+                    u, v = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+                    near = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
+                    u, v = u[near], v[near]
+                    first = first_shared(code, u, v) == band
+                    u, v = u[first], v[first]
+                    np.add.at(links, u, n[v])
+                    np.add.at(links, v, n[u])
+                    ends.append(np.stack([u, v], axis=1))
+            ends = np.concatenate(ends)
+            root = _roots(rows, ends[:, 0], ends[:, 1], ids)
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (tid, ids, links, root)], names=["tid", "vec_id", "links", "root"])
+
+    meet = lambda t: t.repartition(*_KEY).sortWithinPartitions(*_KEY, "tid")
+    rest = meet(dealt).mapInArrow(left_over, _LEFT).join(reps.select("tid", "rep", "n", "e"), "tid")
+    found = meet(rest).mapInArrow(search, _FOUND).checkpoint()
+    links = found.groupBy("tid").agg(F.sum("links").alias("links"))
     parts = common.connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    sums = reps.select("k1", "k2", "rep", "n").join(links, F.col("rep") == F.col("vec_id"), "left").drop("vec_id").join(parts, F.col("rep") == F.col("id"), "left")
+    sums = reps.select("k1", "k2", "tid", "rep", "n").join(links, "tid", "left").join(parts, F.col("rep") == F.col("id"), "left")
     sums = sums.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     good = keyed.where("fine").select("vec_id", "k1", "k2").join(sums, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     rest = keyed.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -58,7 +58,7 @@ def test_links_equal_brute_force(spark, monkeypatch):
             rows.append((len(rows), (v * rng.choice([1e-3, 1, 1e5])).tolist()))
     rows += [(1000 + k, rows[k][1]) for k in range(5)] + [(1000, rows[7][1])]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 24), (2003, [1.0] * 23 + [None]), (2004, [1.0] * 23 + [float("nan")]), (2005, [float("inf")] * 24), (2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (None, rows[0][1])]
-    t = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("label", F.lit(1)).withColumn("e", F.lit("x"))
+    t = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit(i) for i, c in enumerate(["label", "e", "k1", "k2", "rep", "n", "band", "key", "salt", "m", "code"])})
     assert found_links(vectors.link(t)) == brute_links(rows)
 
 
@@ -170,6 +170,16 @@ def test_sets_are_those_of_single_texts():
     assert sorted(weights[: cut[1]]) == [1, 1, 1, 1, 1, 2]
 
 
+def test_wide_sets_have_the_same_signature(monkeypatch):
+    rng = np.random.default_rng(4)
+    for n, scale in ((700, 1.0), (3000, 2.5), (40, 0.3)):
+        values, weights = np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), rng.uniform(0.1, 1, n) * scale
+        whole = minhash.darts(values, weights)
+        monkeypatch.setattr(minhash, "SLICE", 30)
+        assert np.array_equal(minhash.darts(values, weights), whole)
+        monkeypatch.setattr(minhash, "SLICE", 1 << 17)
+
+
 def test_one_id_of_two_texts_keeps_a_defined_one(spark):
     import hashlib
 
