@@ -267,20 +267,25 @@ def model_failures(spark, sf_dir):
     return steps.select("book_id", "step", "start_idx", "shown", "status", "boundary")
 
 
-_REPLIES = ["Answer: ID 7", "It is Answer: ID 0012 I think", "Answer: ID X12Y34", "Answer: ID XXXX", "Answer: ID AB Answer: ID 7", "ID 9", "", models.REFUSAL, "Answer:  ID 3"]
-
-
-def _values(rows: list[str]) -> str:
-    return ", ".join(f"({i}, '{r.replace(chr(39), chr(39) * 2)}')" for i, r in enumerate(rows))
-
 
 @query(
-    f"""WITH v(i, r) AS (VALUES {_values(_REPLIES)}), m AS (SELECT *, nullif(regexp_extract(r, 'Answer: ID (\\w+)', 1), '') AS word FROM v),
+    f"""WITH v AS (SELECT doc_id AS i, CASE doc_id % 6 WHEN 0 THEN 'Answer: ID ' || n_chars WHEN 1 THEN 'It is Answer: ID X' || doc_id || 'Y7 Answer: ID 5' WHEN 2 THEN 'Answer: ID ' || coalesce(lang, '') WHEN 3 THEN text WHEN 4 THEN '{models.REFUSAL}' ELSE 'Answer:  ID ' || doc_id END AS r FROM documents WHERE text IS NOT NULL),
+m AS (SELECT *, nullif(regexp_extract(r, 'Answer: ID (\\w+)', 1), '') AS word FROM v),
 d AS (SELECT *, TRY_CAST(nullif(regexp_extract(word, '\\d+'), '') AS BIGINT) AS boundary FROM m)
-SELECT CAST(i AS BIGINT) AS i, word, boundary, CASE WHEN r = '{models.REFUSAL}' THEN 'refused' WHEN word IS NULL THEN 'unmatched' WHEN boundary IS NULL THEN 'bad_reply' ELSE 'ok' END AS status FROM d"""
+SELECT i, word, boundary, CASE WHEN r = '{models.REFUSAL}' THEN 'refused' WHEN word IS NULL THEN 'unmatched' WHEN boundary IS NULL THEN 'bad_reply' ELSE 'ok' END AS status FROM d"""
 )
 def reply_parse(spark, sf_dir):
-    t = spark.createDataFrame(list(enumerate(_REPLIES)), "i bigint, r string")
+    """Replies made of every document; hand-written ones are in the tests."""
+    k, head = F.col("doc_id") % 6, F.lit("Answer: ID ")
+    reply = (
+        F.when(k == 0, F.concat(head, "n_chars"))
+        .when(k == 1, F.concat(F.lit("It is Answer: ID X"), "doc_id", F.lit("Y7 Answer: ID 5")))
+        .when(k == 2, F.concat(head, F.coalesce("lang", F.lit(""))))
+        .when(k == 3, F.col("text"))
+        .when(k == 4, F.lit(models.REFUSAL))
+        .otherwise(F.concat(F.lit("Answer:  ID "), "doc_id"))
+    )
+    t = _documents(spark, sf_dir).select(F.col("doc_id").alias("i"), reply.alias("r"))
     return t.select("i", T.reply_word("r").alias("word"), T.reply_boundary("r").alias("boundary"), T.reply_status("r").alias("status"))
 
 
@@ -301,26 +306,22 @@ def stride_step(spark, sf_dir):
     return spark.range(1, 2001).select(F.col("id").alias("n"), T.sample_step(F.col("id")).alias("step"))
 
 
-_ANSWERED = [
-    'Question: Who?\n\nAnswer: A man.\n\nSupporting Passage: "he came"',
-    'Well.\nQuestion: Where "was" it?\n\nAnswer: There.\n\nSupporting Passage: "in ... town" and more "x"',
-    "Question: Who?\n\nAnswer: A man.\n\nSupporting Passage: “he came”",
-    'Question: Who?\n\nAnswer: \n\nSupporting Passage: "he came"',
-    'Question: Who\nelse?\n\nAnswer: A man.\n\nSupporting Passage: "he came"',
-    "nothing",
-]
 _PARTS = r"""'Question: (.*?)\n\nAnswer: (.*?)\n\nSupporting Passage: "(.*?)"'"""
 
 
 @query(
-    f"""WITH v(i, r) AS (VALUES {_values(_ANSWERED)}), x AS (SELECT i, regexp_extract(r, {_PARTS}, 1) AS question, regexp_extract(r, {_PARTS}, 2) AS answer, regexp_extract(r, {_PARTS}, 3) AS must_contain FROM v)
-SELECT CAST(i AS BIGINT) AS i, question, answer, must_contain FROM x WHERE question <> '' AND answer <> '' AND must_contain <> ''"""
+    f"""WITH v AS (SELECT doc_id AS i, CASE WHEN doc_id % 4 = 3 THEN text ELSE CASE WHEN doc_id % 4 = 1 THEN 'Well.' || chr(10) ELSE '' END || 'Question: Who is ' || doc_id || '?' || chr(10) || chr(10) || 'Answer: ' || coalesce(lang, '') || chr(10) || chr(10)
+|| 'Supporting Passage: "' || CASE WHEN doc_id % 4 = 2 THEN text ELSE replace(text, chr(10), ' ') END || '"' END AS r FROM documents WHERE text IS NOT NULL),
+x AS (SELECT i, regexp_extract(r, {_PARTS}, 1) AS question, regexp_extract(r, {_PARTS}, 2) AS answer, regexp_extract(r, {_PARTS}, 3) AS must_contain FROM v)
+SELECT i, question, answer, must_contain FROM x WHERE question <> '' AND answer <> '' AND must_contain <> ''"""
 )
 def qa_parse(spark, sf_dir):
-    return questions.parsed(spark.createDataFrame(list(enumerate(_ANSWERED)), "i bigint, reply string"))
-
-
-_QUOTES = ["a b", "... a ... b", "one two  three four five ... six", "one two ... six", "....x", "", "...", "one two three four five..."]
+    """Replies made of every document; hand-written ones are in the tests."""
+    k = F.col("doc_id") % 4
+    quoted = F.when(k == 2, F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit(" ")))
+    head = F.concat(F.when(k == 1, "Well.\n").otherwise(""), F.lit("Question: Who is "), "doc_id", F.lit("?\n\nAnswer: "), F.coalesce("lang", F.lit("")))
+    reply = F.when(k == 3, F.col("text")).otherwise(F.concat(head, F.lit('\n\nSupporting Passage: "'), quoted, F.lit('"')))
+    return questions.parsed(_documents(spark, sf_dir).select(F.col("doc_id").alias("i"), reply.alias("reply")))
 
 
 def _quote_sql(c: str) -> str:
@@ -328,9 +329,11 @@ def _quote_sql(c: str) -> str:
     return rf"CASE WHEN instr({c}, '...') = 0 THEN {c} WHEN instr({c}, '...') = 1 THEN regexp_replace({c}[4:], '^\s+|\s+$', '', 'g') WHEN len({before}) >= 5 THEN array_to_string({before}, ' ') ELSE {c} END"
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, {_quote_sql('q')} AS quote FROM (VALUES {_values(_QUOTES)}, (99, NULL)) v(i, q)")
+@query(f"SELECT i, {_quote_sql('q')} AS quote FROM (SELECT doc_id AS i, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '...' || text ELSE replace(text, 'e ', 'e... ') END AS q FROM documents)")
 def quote_clean(spark, sf_dir):
-    t = spark.createDataFrame([*enumerate(_QUOTES), (99, None)], "i bigint, q string")
+    k = F.col("doc_id") % 3
+    q = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("..."), "text")).otherwise(F.replace("text", F.lit("e "), F.lit("e... ")))
+    t = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), q.alias("q"))
     return t.select("i", T.clean_quote(F.col("q")).alias("quote"))
 
 
@@ -361,12 +364,15 @@ def generate_questions(spark, sf_dir):
     return ask.generate(rows, models.QuotingModel()).select("book_id", "chunk_id", "question", "answer", "must_contain")
 
 
-_NAMES = ["A_B_-_C_D", "One_-_Two_-_Three", "Lonely_Name"]
+_NAME_SQL = "'The_' || coalesce(source, 'A_-_B_') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '_-_By_' || coalesce(lang, '') END || CASE WHEN doc_id % 5 = 0 THEN '_-_Three' ELSE '' END"
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, replace(string_split(b, '_-_')[1], '_', ' ') AS title, replace(string_split(b, '_-_')[2], '_', ' ') AS author FROM (VALUES {_values(_NAMES)}) v(i, b)")
+@query(f"SELECT i, replace(string_split(b, '_-_')[1], '_', ' ') AS title, replace(string_split(b, '_-_')[2], '_', ' ') AS author FROM (SELECT doc_id AS i, {_NAME_SQL} AS b FROM documents)")
 def book_name_split(spark, sf_dir):
-    t = spark.createDataFrame(list(enumerate(_NAMES)), "i bigint, b string")
+    k = F.col("doc_id")
+    author = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("_-_By_"), F.coalesce("lang", F.lit(""))))
+    name = F.concat(F.lit("The_"), F.coalesce("source", F.lit("A_-_B_")), author, F.when(k % 5 == 0, "_-_Three").otherwise(""))
+    t = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), name.alias("b"))
     return t.select("i", T.book_title("b").alias("title"), T.book_author("b").alias("author"))
 
 
@@ -585,8 +591,17 @@ def split_by_separators(spark, sf_dir):
     return splitters.by_separators(_documents(spark, sf_dir))
 
 
-@query()
+_UNIT = f"[{', '.join(f'l{i}' for i in range(26))}]"
+_DISTANCE_SQL = f"""WITH {_P}, c AS (SELECT book_id, k, t, {", ".join(f"CAST(length(t) - length(replace(t, '{c}', '')) AS DOUBLE) AS l{i}" for i, c in enumerate(_LETTERS))} FROM p),
+v AS (SELECT book_id, k, t, {_UNIT} AS e, sqrt(list_dot_product({_UNIT}, {_UNIT})) AS size FROM c),
+g AS (SELECT *, CASE WHEN size > 0 AND lag(size) OVER w > 0 THEN round(1 - list_dot_product(e, lag(e) OVER w) / (size * lag(size) OVER w), 9) END AS gap FROM v WINDOW w AS (PARTITION BY book_id ORDER BY k)),
+x AS (SELECT *, round(quantile_cont(gap, 0.9) OVER (PARTITION BY book_id), 9) AS most FROM g),
+n AS (SELECT *, coalesce(sum(CASE WHEN gap > most THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS chunk_id FROM x)
+SELECT book_id, CAST(chunk_id AS BIGINT) AS chunk_id, CAST(min(k) AS BIGINT) AS start_idx, CAST(max(k) + 1 AS BIGINT) AS end_idx, string_agg(t, chr(10) ORDER BY k) AS chunk FROM n GROUP BY book_id, chunk_id"""
+
+
+@query(_DISTANCE_SQL)
 def split_by_distance(spark, sf_dir):
-    rows = _table(spark, sf_dir, "embeddings").where("label is not null").join(_documents(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    rows = paragraphs.index_rows(rows.select(F.col("label").cast("long").alias("book_id"), "vec_id", "text", "embedding"), "book_id", "vec_id")
-    return splitters.by_distance(rows, 0.9)
+    """Lines of all documents, by the letters that they count."""
+    count = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
+    return splitters.by_distance(_paragraphs(spark, sf_dir).withColumn("embedding", count), 0.9)

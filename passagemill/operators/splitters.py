@@ -53,14 +53,18 @@ def by_separators(docs: DataFrame, most: int = 1000, book: str = "doc_id", text:
 
 
 def by_distance(rows: DataFrame, share: float = 0.95) -> DataFrame:
-    """(book_id, chunk_id, start_idx, end_idx, chunk) from paragraph rows with unit ``embedding``.
+    """(book_id, chunk_id, start_idx, end_idx, chunk) from paragraph rows with ``embedding``.
 
-    A chunk starts where the cosine distance to the paragraph above exceeds the book's quantile ``share``.
+    A chunk starts where the cosine distance to the paragraph above exceeds the book's
+    quantile ``share``; both are rounded to nine digits. A zero vector has no distance.
     """
     book = Window.partitionBy("book_id")
     order = book.orderBy("para_idx")
-    t = rows.withColumn("gap", 1 - V.dot("embedding", F.lag("embedding").over(order)))
-    t = t.withColumn("limit", F.percentile("gap", F.lit(share)).over(book))
+    t = rows.withColumn("__size", F.sqrt(V.dot("embedding", "embedding")))
+    above, size = F.lag("embedding").over(order), F.lag("__size").over(order)
+    known = (F.col("__size") > 0) & (size > 0)
+    t = t.withColumn("gap", F.when(known, F.round(1 - V.dot("embedding", above) / (F.col("__size") * size), 9)))
+    t = t.withColumn("limit", F.round(F.percentile("gap", F.lit(share)).over(book), 9))
     t = t.withColumn("chunk_id", F.coalesce(F.sum((F.col("gap") > F.col("limit")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     pieces = F.array_sort(F.collect_list(F.struct("para_idx", "text")))
     return t.groupBy("book_id", "chunk_id").agg(F.min("para_idx").alias("start_idx"), (F.max("para_idx") + 1).alias("end_idx"), F.array_join(F.transform(pieces, lambda x: x["text"]), "\n").alias("chunk"))
