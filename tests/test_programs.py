@@ -144,3 +144,19 @@ def test_ask_and_evaluate(spark, tmp_path, monkeypatch):
     report = {r["k"]: (r["Custom"], r["Langchain"]) for r in spark.read.csv(str(tmp_path / "e/report"), header=True, inferSchema=True).collect()}
     assert report[1] == (0, 0) and report[2] == report[20] and abs(report[2][0] - 0.6309297) < 1e-6
     assert spark.read.parquet(str(tmp_path / "e/means")).where(F.col("k") == 5).count() == 2
+
+
+def test_scratch_folder_is_shared_or_local(spark):
+    from passagemill.sources import scratch
+
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert scratch.folder(spark, "x").startswith(named)
+
+    def session(master, given=None):
+        context = SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: context))))
+
+    assert scratch.folder(session("yarn", "hdfs://x/y/"), "t").startswith("hdfs://x/y/t-")
+    with pytest.raises(RuntimeError):
+        scratch.folder(session("local-cluster[2,1,512]"), "t")
+    assert "passagemill-" in scratch.folder(session("local[4]"), "t")
