@@ -18,14 +18,13 @@ with a null doc_id pass stages 2 and 3 unchanged. Extra columns are kept up to s
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from passagemill.llm import common, langid, minhash, mixing, packing, windows
+from passagemill.sources import scratch
 
 #: SQL can't express a learned language model and DartMinHash; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -64,8 +63,7 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; a stage's table is deleted when the one after the next has been written."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="passagemill-")
-    to = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    to = scratch.folder(spark, "pipeline")
     docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for number, (name, stage) in enumerate(STAGES, 1):
         written.append(f"{to}/{number}-{name}")
