@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import models
+from . import cli, models
 from .functions import text as T
 from .functions import vectors as V
 from .operators import boundaries, chunks, embed, paragraphs, prompts, questions, retrieval, splitters
@@ -605,3 +605,53 @@ def split_by_distance(spark, sf_dir):
     """Lines of all documents, by the letters that they count."""
     count = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
     return splitters.by_distance(_paragraphs(spark, sf_dir).withColumn("embedding", count), 0.9)
+
+
+# --- programs, end to end -------------------------------------------------------------------------
+
+
+@query(f"SELECT *, 'doc_' || book_id AS book_name FROM ({_CHUNKS_SQL})")
+def program_segment(spark, sf_dir):
+    """The command line over paragraphs in Parquet, and the chunks that it wrote."""
+    to = scratch.folder(spark, "segment")
+    rows = _paragraphs(spark, sf_dir).select("book_id", F.concat(F.lit("doc_"), "book_id").alias("book_name"), "para_idx", "text")
+    rows.write.parquet(f"{to}/paragraphs")
+    cli.main(["segment", "--paragraphs", f"{to}/paragraphs", "--out_path", f"{to}/out"], spark)
+    return spark.read.parquet(f"{to}/out/chunks").drop("chapter")
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id % 7 AS book_id, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) - 1 AS chunk_id, count(*) OVER (PARTITION BY doc_id % 7) AS n, replace(string_split(text, chr(10))[1], '"', '') AS line FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, CASE WHEN n < 160 THEN 1 ELSE CAST(ceil(n / 120) AS BIGINT) END AS step, split_part(line, ' ', 1) AS start FROM r),
+q AS (SELECT *, chunk_id % step = 0 AND line <> '' AS asked FROM s)
+SELECT book_id, chunk_id, CASE WHEN asked THEN 'Where does Volume ' || book_id || ' by A Writer speak of ' || start || '?' END AS question, CASE WHEN asked THEN 'Where a line begins with ' || start || '.' END AS answer, CASE WHEN asked THEN {_quote_sql("line")} END AS must_contain FROM q"""
+)
+def program_ask(spark, sf_dir):
+    """The command line over chunks in Parquet, and the annotated chunks that it wrote."""
+    to = scratch.folder(spark, "ask")
+    docs = _documents(spark, sf_dir).select((F.col("doc_id") % 7).alias("book_id"), "doc_id", F.col("text").alias("chunk"))
+    rows = paragraphs.index_rows(docs, "book_id", "doc_id", index="chunk_id").withColumn("book_name", F.concat(F.lit("Volume_"), "book_id", F.lit("_-_A_Writer")))
+    rows.select("book_id", "book_name", "chunk_id", "chunk").write.parquet(f"{to}/chunks")
+    cli.main(["ask", "--chunks", f"{to}/chunks", "--out_path", f"{to}/out"], spark)
+    return spark.read.parquet(f"{to}/out/questions").select("book_id", "chunk_id", "question", "answer", "must_contain")
+
+
+@query("SELECT name, coalesce(n, -1) AS n FROM (SELECT unnest(['src0', 'src1', 'no such source']) AS name) LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) ON source = name")
+def book_guard(spark, sf_dir):
+    """Rows of a book, or -1 where the guard against an unknown one fails."""
+
+    def rows(name: str) -> int:
+        try:
+            return tables.of_book(_table(spark, sf_dir, "documents"), name, "source").count()
+        except LookupError:
+            return -1
+
+    return spark.createDataFrame([(n, rows(n)) for n in ("src0", "src1", "no such source")], "name string, n bigint")
+
+
+@query(_CHUNKS_SQL)
+def chunk_sink(spark, sf_dir):
+    """Chunks as they are read again from the sorted sink, whose folder the writer makes."""
+    to = scratch.folder(spark, "sink/of/chunks")
+    sinks.write_chunks(chunks.assembled(boundaries.fold(_books(spark, sf_dir))), to)
+    return tables.read_parquet(spark, to).drop("chapter")

@@ -29,8 +29,8 @@ def write_lines(names: DataFrame, path: str, column: str = "book_name", index: s
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with quoted line ends, readable with multiLine."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with quoted line ends, readable with multiLine; white space at the ends of a text stays."""
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_excel(df: DataFrame, path: str) -> None:
