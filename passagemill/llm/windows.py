@@ -6,7 +6,9 @@ A bucket merge-joins its runs, and those of the history, in block order and answ
 one bit per fingerprint: held by another block. Only windows so marked are verified, by
 128-bit fingerprints of their words that the same merge gives to the first block; then
 the blocks remove what is covered. So a hot passage costs a bucket one entry a block, whatever its copies, and no
-task holds more than one block or one bucket.
+task holds more than one block or one bucket. Empty runs, and answers without a bit, are not
+sent, so there are never more of them than windows. Rows without an id are dealt to any block;
+an id with more rows than a block has several blocks of one level, and only earlier levels count.
 
 ``index_runs`` and ``compact`` make the runs of earlier calls, to be kept as Parquet; given
 as ``history``, they let a new batch of documents (with larger ids) be deduplicated
@@ -34,8 +36,10 @@ from . import common
 
 #: Bytes of text of a block, and the most that it grows to in large inputs; bytes of text for each bucket.
 BLOCK_BYTES, LARGEST_BLOCK, BUCKET_BYTES = 4 << 20, 32 << 20, 32 << 20
-#: Quantiles of doc_id that are computed; more blocks split what lies between two of them evenly by id.
+#: Quantiles of doc_id that are computed at once; for more blocks, quantiles of what lies between two of them are.
 QUANTILES = 20_000
+#: A block's number is its level times this, plus its part of the level.
+LEVEL = 1 << 20
 ANSWER = "block long, bucket int, bits binary"
 RUN = "block long, bucket int, run binary"
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -47,7 +51,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Class of each byte: words are runs of one class, 0 is between words.
+WORDS = (~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])).astype(np.uint8)
 _BASES = (np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC3A5C85C97CB3127))
 _VALUES = [_mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1000 * (k + 1))) for k in range(2)]
 #: Bytes of text that are hashed at once: what is held besides the result doesn't grow with a text.
@@ -64,7 +69,7 @@ def _powers(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(text: bytes, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First bytes of the words of ``text``, and two independent 64-bit hashes of each.
 
     A hash is a polynomial of tabled byte values; differences of running sums give it for
@@ -77,9 +82,10 @@ def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, far, held = 0, 0, [0, 0]  # the word that is open: where it starts, its bytes and sums so far
     for at in range(0, len(every), PIECE):
         x = every[at : at + PIECE]
-        space = np.concatenate([[True], _SPACE[x], [True]])
-        edges = np.flatnonzero(space[1:] != space[:-1])
-        starts, ends = edges[0::2], edges[1::2]
+        kind = classes[x]
+        bounds = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(x)]])
+        word = kind[bounds[:-1]] > 0
+        starts, ends = bounds[:-1][word], bounds[1:][word]
         values = []
         for k in range(2):
             up, down = _POWERS[k]
@@ -87,13 +93,13 @@ def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             values.append((sums[ends] - sums[starts]) * down[starts])
         starts = starts + at
         if far:
-            goes_on = int(len(starts) > 0 and starts[0] == at)
+            goes_on = int(kind[0] == classes[every[first]])
             for k in range(2):
                 more = pow(int(_BASES[k]), far, 1 << 64) * int(values[k][0]) if goes_on else 0
                 whole = np.array([(held[k] + more) % (1 << 64)], np.uint64)
                 values[k] = np.concatenate([whole, values[k][goes_on:]])
             starts = np.concatenate([[first], starts[goes_on:]])
-        if len(edges) and edges[-1] == len(x) < len(every) - at:  # the last word is open
+        if kind[-1] and at + len(x) < len(every):  # the last word is open
             first, held = int(starts[-1]), [int(v[-1]) for v in values]
             far = at + len(x) - first
             starts, values = starts[:-1], [v[:-1] for v in values]
@@ -149,25 +155,40 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
+def _cut(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, last) of the buckets that ascending fingerprints are in."""
+    if not len(h):
+        return []
+    of = _bucket(h, buckets)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    return [*zip(of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True)]
+
+
 def _runs(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The sorted distinct 64-bit fingerprints of each bucket (a bucket is a range of hashes)."""
+    """The sorted distinct 64-bit fingerprints of each bucket that has some (a bucket is a range of hashes)."""
     h = np.sort(h)
     h = h[np.r_[True, h[1:] != h[:-1]][: len(h)]]
-    cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-    for k in range(buckets):
-        if cut[k] < cut[k + 1]:
-            yield k, h[cut[k] : cut[k + 1]]
+    return ((k, h[a:z]) for k, a, z in _cut(h, buckets))
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """The 32 bits that a filter run keeps; with the bucket they stand for some 40 bits."""
-    return (_mix(h) >> np.uint64(32)).astype("<u4")
+def _short(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The 32 bits that a filter run keeps, ascending as the fingerprints are: where in its bucket each stands."""
+    n, low = np.uint64(buckets), np.uint64(0xFFFFFFFF)
+    at = ((h >> np.uint64(32)) * n & low) + ((h & low) * n >> np.uint64(32))
+    return np.minimum(at, low).astype("<u4")
+
+
+def _bits(frame: pd.DataFrame, cut: np.ndarray, marked: np.ndarray) -> pd.DataFrame:
+    """The answers to this call's blocks in which a bit is set."""
+    some = np.add.reduceat(marked, cut[:-1]) if len(cut) > 1 else []
+    rows = [(b, k, np.packbits(marked[cut[i] : cut[i + 1]]).tobytes()) for i, (b, k) in enumerate(zip(frame["block"], frame["bucket"], strict=True)) if b >= 0 and some[i]]
+    return pd.DataFrame(rows, columns=["block", "bucket", "bits"])
 
 
 def _answers(frame: pd.DataFrame) -> pd.DataFrame:
     """Filter step of one bucket: a bit a fingerprint, held by any other block (or the history).
 
-    All runs of the bucket are merged in one sort; blocks below 0 are history.
+    All runs of the bucket are merged in one stable sort, which takes ascending runs as they are; blocks below 0 are history.
     """
     frame = frame.sort_values("block", kind="stable")
     runs = [np.frombuffer(r, "<u4") for r in frame["run"]]
@@ -183,8 +204,7 @@ def _answers(frame: pd.DataFrame) -> pd.DataFrame:
     mixed[group[1:][other]] = True
     shared = np.zeros(len(every), dtype=bool)
     shared[order] = mixed[group]
-    rows = [(b, k, np.packbits(shared[cut[i] : cut[i + 1]]).tobytes()) for i, (b, k) in enumerate(zip(frame["block"], frame["bucket"], strict=True)) if b >= 0]
-    return pd.DataFrame(rows, columns=["block", "bucket", "bits"])
+    return _bits(frame, cut, shared)
 
 
 def _pairs(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -203,18 +223,18 @@ def _distinct(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _first_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-    """Verification of one bucket: a bit a 128-bit fingerprint, held by an earlier block (or the history)."""
+    """Verification of one bucket: a bit a 128-bit fingerprint, held by an earlier level (or the history)."""
     frame = frame.sort_values("block", kind="stable")
     runs = [np.frombuffer(r, [("h", "<u8"), ("c", "<u8")]) for r in frame["run"]]
     sizes = [len(r) for r in runs]
     every = np.concatenate(runs)
-    order = np.lexsort((np.repeat(np.arange(len(runs)), sizes), every["c"], every["h"]))
-    same = np.r_[False, (every["h"][order][1:] == every["h"][order][:-1]) & (every["c"][order][1:] == every["c"][order][:-1])]
+    level = np.repeat(frame["block"].to_numpy(np.int64) // LEVEL, sizes)
+    order = np.lexsort((level, every["c"], every["h"]))
+    h, c, level = every["h"][order], every["c"][order], level[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
     seen = np.zeros(len(every), dtype=bool)
-    seen[order] = same
-    cut = np.cumsum([0, *sizes])
-    rows = [(b, k, np.packbits(seen[cut[i] : cut[i + 1]]).tobytes()) for i, (b, k) in enumerate(zip(frame["block"], frame["bucket"], strict=True)) if b >= 0]
-    return pd.DataFrame(rows, columns=["block", "bucket", "bits"])
+    seen[order] = level > level[new][np.cumsum(new) - 1]
+    return _bits(frame, np.cumsum([0, *sizes]), seen)
 
 
 def _marked(runs, answers: pd.DataFrame) -> np.ndarray:
@@ -232,8 +252,7 @@ def _shared(block: Block, answers: pd.DataFrame, buckets: int) -> list[tuple[int
     spot = np.minimum(np.searchsorted(hashes, block.hash), len(hashes) - 1)
     at = np.flatnonzero(hashes[spot] == block.hash)
     pairs = _distinct(block.hash[at], block.check[at])
-    cut = np.searchsorted(_bucket(pairs["h"], buckets), np.arange(buckets + 1))
-    return [(k, pairs[cut[k] : cut[k + 1]]) for k in range(buckets) if cut[k] < cut[k + 1]]
+    return [(k, pairs[a:z]) for k, a, z in _cut(pairs["h"], buckets)]
 
 
 def _covered(block: Block, outside: np.ndarray, size: int) -> np.ndarray:
@@ -269,34 +288,56 @@ def _run_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "run": pa.array(run, pa.binary())})
 
 
+def _quantiles(ids: DataFrame, blocks: int) -> np.ndarray:
+    """The doc_ids at which blocks of about equally many rows end, the last left out; ascending, with repeats."""
+    cut = lambda n: F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)], 10 * max(1000, n)).alias("q")
+    coarse = min(blocks, QUANTILES)
+    if coarse < 2:
+        return np.zeros(0, np.int64)
+    first = np.array(ids.agg(cut(coarse)).first()["q"] or [], dtype=np.int64)
+    fine = -(-blocks // coarse)
+    if fine < 2 or not len(first):
+        return first
+
+    @F.pandas_udf("long")
+    def between(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(first, ids.to_numpy(np.int64), side="left"))
+
+    more = ids.groupBy(between("doc_id").alias("c")).agg(cut(fine)).collect()  # a row for each of the first quantiles
+    return np.sort(np.concatenate([first, *(np.array(r["q"] or [], dtype=np.int64) for r in more)]))
+
+
 def deal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] = ()) -> tuple[DataFrame, int, int]:
     """Documents with a block number that never falls as doc_id grows; the numbers of blocks and of buckets.
 
-    Only quantiles of doc_id reach the driver, QUANTILES at most. carry: columns that go
-    along as the struct ``row``.
+    Only quantiles of doc_id reach the driver: 8 bytes for each block, of 32 MB in large
+    inputs. carry: columns that go along as the struct ``row``.
     """
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    known = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    total, lo, hi = known["b"] or 0, known["lo"] or 0, known["hi"] or 0
+    total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
     blocks = -(-total // min(max(block_bytes, total // QUANTILES), max(block_bytes, LARGEST_BLOCK)))
     blocks = int(max(blocks, min(parts, -(-total // (block_bytes // 16))))) or 1
-    coarse = min(blocks, QUANTILES)
-    fine = -(-blocks // coarse)
-    bounds = docs.agg(F.percentile_approx("doc_id", [(i + 1) / coarse for i in range(coarse - 1)], 10 * max(1000, coarse)).alias("q")).first()["q"] if coarse > 1 else None
-    cuts = np.unique(np.array(bounds or [], dtype=np.int64))
-    first, last = np.concatenate([[lo], cuts + 1]), np.concatenate([cuts, [max(hi, lo)]])
+    cuts = _quantiles(docs.where("doc_id is not null").select(key.alias("doc_id")), blocks)
+    # an id that is several quantiles has a level of its own, and as many parts
+    ids, counts = np.unique(cuts, return_counts=True)
+    hot = {int(i): int(n) for i, n in zip(ids[counts > 1], counts[counts > 1], strict=True)}
+    cuts = np.unique(np.concatenate([ids, np.array([*hot], np.int64) - 1])) if hot else ids
+    parted = np.zeros(len(cuts) + 1, np.int64)
+    for i, n in hot.items():
+        parted[np.searchsorted(cuts, i)] = n
 
     @F.pandas_udf("long")
-    def number(ids: pd.Series) -> pd.Series:
-        ids = ids.to_numpy(np.int64)
-        at = np.searchsorted(cuts, ids, side="left")
-        width = (last[at] - first[at]).astype(np.float64) + 1
-        part = np.clip((ids - first[at]) / width * fine, 0, fine - 1).astype(np.int64)
-        return pd.Series(at * fine + part)
-
-    dealt = docs.select(number(key).alias("block"), key.alias("doc_id"), F.col("doc_id").isNotNull().alias("keyed"), F.col("text").cast("binary").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    def number(ids: pd.Series, spread: pd.Series) -> pd.Series:
+        level = np.searchsorted(cuts, ids.to_numpy(np.int64), side="left")
+        return pd.Series(level * LEVEL + spread.to_numpy(np.int64) % np.maximum(1, parted[level]))
+
+    given = F.col("doc_id").cast("long")
+    spread = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(LEVEL))
+    # no null goes to Python as an integer: ids without a value are known by their flag
+    block = F.when(given.isNotNull(), number(key, spread)).otherwise(F.pmod(spread, F.lit(len(cuts) + 1)) * LEVEL)
+    dealt = docs.select(block.alias("block"), key.alias("doc_id"), F.col("doc_id").isNotNull().alias("keyed"), F.col("text").cast("binary").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
     dealt = dealt.repartition(parts, "block")
     return dealt, blocks, int(max(parts, -(-total // BUCKET_BYTES)))
 
@@ -306,7 +347,7 @@ def mark(docs: DataFrame, size: int = 13, history: DataFrame | None = None, carr
     dealt, _, buckets = deal(docs, carry=carry)
 
     def runs(key, table):
-        return _run_table([(key[0].as_py(), k, _short(r).tobytes()) for k, r in _runs(Block(table, size).hash, buckets)])
+        return _run_table([(key[0].as_py(), k, _short(r, buckets).tobytes()) for k, r in _runs(Block(table, size).hash, buckets)])
 
     filters = dealt.groupBy("block").applyInArrow(runs, RUN)
     if history is not None:
@@ -381,28 +422,37 @@ def deduplicated(docs: DataFrame, size: int = 13, history: DataFrame | None = No
 # --- the index that outlives a call -----------------------------------------------------------------
 
 
+def _as_runs(pairs: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    return [(0, k, pairs[a:z].tobytes()) for k, a, z in _cut(pairs["h"], buckets)]
+
+
 def index_runs(docs: DataFrame, size: int = 13) -> DataFrame:
-    """(bucket, run): immutable sorted runs of the 128-bit window fingerprints of ``docs``, 256 buckets, to be written as Parquet."""
-    dealt, _, _ = deal(docs)
+    """(bucket, run): immutable sorted runs of the 128-bit window fingerprints of ``docs``, to be written as Parquet."""
+    dealt, _, buckets = deal(docs)
 
     def runs(table):
         block = Block(table, size)
-        pairs = _distinct(block.hash, block.check)
-        cut = np.searchsorted(_bucket(pairs["h"], 256), np.arange(257))
-        return _run_table([(0, k, pairs[cut[k] : cut[k + 1]].tobytes()) for k in range(256) if cut[k] < cut[k + 1]]).select(["bucket", "run"])
+        return _run_table(_as_runs(_distinct(block.hash, block.check), buckets)).select(["bucket", "run"])
 
     return dealt.groupBy("block").applyInArrow(runs, "bucket int, run binary")
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Merges all runs of each bucket into one sorted run of distinct fingerprints."""
+def compact(runs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Merges all runs of each bucket into one sorted run of distinct fingerprints; as many buckets as all runs need."""
+    total = runs.agg(F.sum(F.octet_length("run").cast("long"))).first()[0] or 0
+    buckets = int(max(1, -(-total // bucket_bytes)))
+
+    def again(batches):
+        for frame in batches:
+            for run in frame["run"]:
+                yield _run_table(_as_runs(np.frombuffer(run, [("h", "<u8"), ("c", "<u8")]), buckets)).select(["bucket", "run"]).to_pandas()
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         every = np.concatenate([np.frombuffer(r, [("h", "<u8"), ("c", "<u8")]) for r in frame["run"]])
         every = _distinct(every["h"], every["c"])
         return pd.DataFrame([(int(frame["bucket"].iloc[0]), every.tobytes())], columns=["bucket", "run"])
 
-    return runs.groupBy("bucket").applyInPandas(merge, "bucket int, run binary")
+    return runs.select("run").mapInPandas(again, "bucket int, run binary").groupBy("bucket").applyInPandas(merge, "bucket int, run binary")
 
 
 def _history_runs(history: DataFrame, buckets: int, short: bool) -> DataFrame:
@@ -413,8 +463,7 @@ def _history_runs(history: DataFrame, buckets: int, short: bool) -> DataFrame:
             rows = []
             for run in frame["run"]:
                 pairs = np.frombuffer(run, [("h", "<u8"), ("c", "<u8")])
-                cut = np.searchsorted(_bucket(pairs["h"], buckets), np.arange(buckets + 1))
-                rows += [(-1, k, (_short(pairs["h"][cut[k] : cut[k + 1]]) if short else pairs[cut[k] : cut[k + 1]]).tobytes()) for k in range(buckets) if cut[k] < cut[k + 1]]
+                rows += [(-1, k, (_short(pairs["h"][a:z], buckets) if short else pairs[a:z]).tobytes()) for k, a, z in _cut(pairs["h"], buckets)]
             yield pd.DataFrame(rows, columns=["block", "bucket", "run"])
 
     return history.select("run").mapInPandas(again, "block long, bucket int, run binary")

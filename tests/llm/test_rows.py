@@ -3,6 +3,7 @@
 import array
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -138,6 +139,70 @@ def test_wrapped_licences(spark):
     assert out[0]["first_known"] == 1 and out[len(cases) - 1]["first_known"] == 2
 
 
+#: Every known sentence as notices have it.
+NOTICES = {
+    "apache2": "Licensed under the Apache License, Version 2.0",
+    "apache2-name": "Apache License, Version 2.0",
+    "apache2-may": "You may not use this file except in compliance with the License",
+    "apache2-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache2-asis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    "apache2-see": "See the License for the specific language governing permissions and limitations under the License",
+    "mit": "Released under the MIT license",
+    "mit-under": "Licensed under the MIT License",
+    "mit-name": "The MIT License",
+    "mit-name-paren": "The MIT License (MIT)",
+    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mit-asis": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+    "mit-liable": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-asis": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "bsd-redist": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd": "Licensed under the BSD License",
+    "bsd3": "Licensed under the BSD 3-Clause License",
+    "gpl3": "This work is licensed under the GNU General Public License, version 3",
+    "gpl3-under": "Licensed under the GNU General Public License, version 3",
+    "gpl2": "This work is licensed under the GNU General Public License, version 2",
+    "gpl-redist3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-redist2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "gpl-see": "See the GNU General Public License for more details",
+    "lgpl3": "Licensed under the GNU Lesser General Public License, version 3",
+    "agpl3": "Licensed under the GNU Affero General Public License, version 3",
+    "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl2-under": "Licensed under the Mozilla Public License, Version 2.0",
+    "cc-by": "Licensed under CC BY 4.0",
+    "cc-by-long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa": "Licensed under CC BY-SA 4.0",
+    "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc": "Licensed under CC BY-NC 4.0",
+    "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nd": "Licensed under CC BY-ND 4.0",
+    "cc0": "This work is dedicated to the public domain under CC0 1.0",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-apache2": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "rights": "All rights reserved",
+}
+
+
+def test_every_rule_on_a_wrapped_notice(spark):
+    cases = []
+    for name, ids in licences.RULES:
+        sentences = [NOTICES[i] + "." for i in ids]
+        wide = "\n".join(textwrap.fill(x, 60, break_long_words=False, break_on_hyphens=False) for x in sentences)
+        narrow = "\n".join(textwrap.fill(x, 38, initial_indent="# ", subsequent_indent="# ", break_long_words=False, break_on_hyphens=False) for x in sentences)
+        cases += [(name, len(ids), t) for t in ("\n".join(sentences), wide, narrow, wide.replace("\n", "\n * "))]
+    docs = spark.createDataFrame([(i, f"start of file\n\n{t}\n\nx = 1") for i, (_, _, t) in enumerate(cases)], "doc_id bigint, text string")
+    out = {r["doc_id"]: (r["licences"], r["n_known"], r["n_matches"]) for r in licences.scan(docs).collect()}
+    assert [(cases[i][:2], cases[i][2], out[i]) for i in out if out[i] != (cases[i][0], cases[i][1], 1)] == []
+
+
 def test_cues_bear_other_gaps(spark):
     texts = ["This work is dedicated to the public-domain under CC0 1.0", "This work is dedicated to the public  domain under CC0 1.0"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -298,6 +363,26 @@ def test_removals_equal_brute_force(spark, monkeypatch, block_bytes, quantiles):
     same_removals(windows.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
 
 
+def test_rows_of_one_id_or_none_are_dealt_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows.deal, "__defaults__", (1 << 9, ()))
+    monkeypatch.setattr(windows, "LARGEST_BLOCK", 1 << 9)
+    rows = [(None if k % 3 == 0 else 1040 if k % 3 == 1 else i, t) for k, (i, t) in enumerate(overlapping(7, 240))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    blocks = Counter((r["doc_id"] if r["keyed"] else None, r["block"]) for r in windows.deal(frame)[0].collect())
+    assert sum(i == 1040 for i, _ in blocks) > 5 and sum(i is None for i, _ in blocks) > 5
+    assert len({b // windows.LEVEL for i, b in blocks if i == 1040}) == 1 and max(blocks.values()) < 40
+    same_removals(windows.remove_repeats(frame).collect(), rows)
+
+
+def test_runs_of_a_bucket_ascend():
+    h = np.sort(np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64))
+    for buckets in (1, 3, 7, 64, 1000):
+        runs = list(windows._runs(h, buckets))
+        assert np.array_equal(np.concatenate([r for _, r in runs]), h) and [k for k, _ in runs] == sorted({*windows._bucket(h, buckets).tolist()})
+        assert all((np.diff(windows._short(r, buckets).astype(np.int64)) >= 0).all() for _, r in runs)
+        assert buckets > 64 or len(np.unique(np.concatenate([windows._short(r, buckets) for _, r in runs[:1]]))) >= len(runs[0][1]) - 1
+
+
 def test_removals_of_edge_rows(spark):
     rows = [(r[0], r[1]) for r in EDGES]
     same_removals(windows.remove_repeats(edge_docs(spark)).collect(), rows)
