@@ -12,8 +12,7 @@ equal results; other input columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,42 +20,59 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, windows
 
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-REPEAT, LINE = "\x00repeat", "\x00line"
+#: Tokens are runs of letters and digits (and all bytes above ASCII), of underscores, or of other marks.
+CLASSES = np.array([0 if c in b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " else 1 if c >= 128 or chr(c).isalnum() else 2 if c == 95 else 3 for c in range(256)], np.uint8)
+#: Indicators of a token followed by itself, and of a line that occurs before.
+REPEAT, LINE = np.uint64(1), np.uint64(2)
 
 
-def features(text: str | None) -> set:
-    """Distinct n-grams of the whole text: tokens, pairs of tokens, and the two repeat marks."""
-    tokens = TOKEN.findall(text or "")
-    pairs = set(zip(tokens, tokens[1:]))
-    found = set(tokens)
-    if any(a == b for a, b in pairs if a.isalnum()):
-        pairs.add(REPEAT)
-    lines = [x for x in (text or "").split("\n") if x.strip()]
-    if len({*lines}) < len(lines):
-        pairs.add(LINE)
-    return found | pairs
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 64-bit number) of the tokens and pairs of tokens of whole texts, and of the two repeat marks; not distinct."""
+    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    joined = b"\n".join(texts)
+    starts, h, _ = windows.hash_words(joined, CLASSES)
+    if len(starts):
+        doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+        inside = np.flatnonzero(doc[1:] == doc[:-1])
+        pairs = windows._mix(h[inside] * windows._ODD1 + h[inside + 1])
+        again = inside[(h[inside] == h[inside + 1]) & (CLASSES[np.frombuffer(joined, np.uint8)[starts[inside]]] == 1)]
+        docs += [doc, doc[inside], doc[again]]
+        found += [h, pairs, np.full(len(again), REPEAT)]
+    lines = ([x for x in t.split(b"\n") if x.strip()] for t in texts)
+    twice = np.flatnonzero([len({*x}) < len(x) for x in lines])
+    return np.concatenate([*docs, twice]), np.concatenate([*found, np.full(len(twice), LINE)])
 
 
 @dataclass
 class QualityModel:
-    weights: dict
+    names: np.ndarray  # numbers of the indicators, ascending
+    weights: np.ndarray
     bias: float
     slope: float
     offset: float
     rate: float | None = None
 
-    def raw(self, text: str | None) -> float:
-        found, get = features(text), self.weights.get
-        return self.bias + sum(sorted(w for w in map(get, found) if w is not None))
+    def known(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, place in names) of the distinct known indicators of each text, in order, a run of texts at a time."""
+        for a, b in common.chunks(texts):
+            doc, found = features(texts[a:b])
+            at = np.minimum(np.searchsorted(self.names, found), len(self.names) - 1)
+            ok = self.names[at] == found if len(self.names) else np.zeros(len(found), bool)
+            both = np.unique((doc[ok] + a) * len(self.names) + at[ok])
+            yield both // max(1, len(self.names)), both % max(1, len(self.names))
+
+    def raw(self, texts: list[str | None]) -> np.ndarray:
+        z = np.full(len(texts), self.bias)
+        for doc, at in self.known([(t or "").encode("utf-8", "replace") for t in texts]):
+            z += np.bincount(doc, self.weights[at], minlength=len(texts))
+        return z
 
     def score(self, texts) -> np.ndarray:
         if self.rate is not None:
             return np.full(len(texts), self.rate)
-        z = np.array([self.raw(t) for t in texts], dtype=float)
-        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.offset, -40, 40)))
 
 
 def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -85,39 +101,45 @@ def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost
     return w * values, bias
 
 
-def train(rows: list[tuple[str, int]], least: int = 3, vocabulary: int = 200_000, cost: float = 1.0) -> QualityModel:
-    """rows: (text, 0 or 1). least: rows that must hold an n-gram; vocabulary: n-grams kept at most, the most frequent first."""
+def train(rows: list[tuple[str, int]], least: int = 3, cost: float = 1.0) -> QualityModel:
+    """rows: (text, 0 or 1). least: rows that must hold an n-gram; all such n-grams are kept."""
     y = np.array([int(v) for _, v in rows], dtype=np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0)
     if not len(y) or y.min() == y.max():
-        return QualityModel({}, 0.0, 1.0, 0.0, rate=float((y.sum() + 1) / (len(y) + 2)))
-    found = [features(t) for t, _ in rows]
+        return QualityModel(*none, 0.0, 1.0, 0.0, rate=float((y.sum() + 1) / (len(y) + 2)))
     fit = np.array([i % 5 != 0 for i in range(len(rows))]) | (len(rows) < 50)
-    counts: Counter = Counter()
-    for f, k in zip(found, fit, strict=True):
-        if k:
-            counts.update(f)
-    names = sorted((k for k, n in counts.items() if n >= least), key=lambda k: (-counts[k], str(k)))[:vocabulary]
-    index = {k: i for i, k in enumerate(names)}
-    columns = [np.array(sorted(index[k] for k in f if k in index), dtype=np.int64) for f in found]
-    p, q = np.ones(len(names)), np.ones(len(names))
-    for c, label, k in zip(columns, y, fit, strict=True):
-        if k:
-            (p if label else q)[c] += 1
+    texts = [(t or "").encode("utf-8", "replace") for t, _ in rows]
+    seen = [none[0]]
+    for a, b in common.chunks(texts):
+        doc, found = features(texts[a:b])
+        order = np.lexsort((found, doc))
+        doc, found = doc[order], found[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])][: len(doc)]
+        seen.append(found[new & fit[a + doc]])
+    names, counts = np.unique(np.concatenate(seen), return_counts=True)
+    model = QualityModel(names[counts >= least], none[1], 0.0, 1.0, 0.0)
+    doc, at = (np.concatenate(x) for x in zip(*model.known(texts), strict=True))
+    columns = np.split(at, np.searchsorted(doc, np.arange(1, len(rows))))
+    of_good = np.bincount(at[fit[doc] & (y[doc] == 1)], minlength=len(model.names)) + 1.0
+    of_bad = np.bincount(at[fit[doc] & (y[doc] == 0)], minlength=len(model.names)) + 1.0
     n1, n0 = y[fit].sum() + 2, (1 - y[fit]).sum() + 2
-    ratio = np.log(p / n1) - np.log(q / n0)
+    ratio = np.log(of_good / n1) - np.log(of_bad / n0)
     chosen = np.flatnonzero(fit)
     balance = np.where(y[chosen] == 1, 1.0, min(5.0, n1 / n0)) * cost
-    weights, bias = dual_descent([columns[i] for i in chosen], ratio, y[chosen], balance)
-    model = QualityModel({k: float(w) for k, w in zip(names, weights, strict=True) if w}, bias, 1.0, 0.0)
+    model.weights, model.bias = dual_descent([columns[i] for i in chosen], ratio, y[chosen], balance)
     held = np.flatnonzero(~fit) if len({*y[~fit]}) == 2 else chosen
-    z = np.array([bias + weights[columns[i]].sum() for i in held])
+    z = np.array([model.bias + model.weights[columns[i]].sum() for i in held])
+    used = model.weights != 0
+    model.names, model.weights = model.names[used], model.weights[used]
     model.slope, model.offset = common.platt(z, y[held])
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000) -> QualityModel:
-    """Learns from at most about ``max_docs`` labelled rows and the 200,000 most frequent n-grams of ``train`` (the documented bounds), whole texts."""
-    return train(common.labelled_sample(docs, labels, "quality", max_docs))
+    """Learns from at most ``max_docs`` labelled rows and about 256 MB of text (the documented bounds), whole texts."""
+    model = train(common.labelled_sample(docs, labels, "quality", max_docs))
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
