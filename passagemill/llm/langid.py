@@ -35,21 +35,20 @@ class LanguageModel:
     threshold: float = 0.0
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
-        """Mean logits by text; the work arrays hold those of some 256 KB of text."""
-        out = np.zeros((len(texts), len(self.languages)))
-        for a, b in common.chunks(texts):
-            buf = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts[a : b - 1]])]).astype(np.int64)
-            total, count = np.zeros((b - a, len(self.languages))), np.zeros(b - a)
+        """Mean logits by text; the work arrays hold those of some 256 KB of text, also of a longer one."""
+        pieces, of = common.at_spaces(texts)
+        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for a, b in common.chunks(pieces):
+            buf = np.frombuffer(b"".join(pieces[a:b]), np.uint8)
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in pieces[a : b - 1]])]).astype(np.int64)
             for bucket, ok in common.byte_ngrams(buf, SIZES, BITS):
                 at = np.flatnonzero(ok)
-                doc = np.searchsorted(starts, at, side="right") - 1
-                edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(at) else at
+                piece = np.searchsorted(starts, at, side="right") - 1
+                edges = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(at) else at
                 if len(at):
-                    total[doc[edges]] += np.add.reduceat(self.logits[bucket[at]], edges, axis=0)
-                    count += np.bincount(doc, minlength=b - a)
-            out[a:b] = total / np.maximum(count, 1)[:, None]
-        return out + self.bias
+                    np.add.at(total, of[a + piece[edges]], np.add.reduceat(self.logits[bucket[at]], edges, axis=0))
+                    count += np.bincount(of[a + piece], minlength=len(texts))
+        return total / np.maximum(count, 1)[:, None] + self.bias
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
         known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
@@ -99,7 +98,7 @@ def train(rows: list[tuple[str, str]], reject: float = 0.001, seed: int = 3) ->
 
 
 def fit(docs: DataFrame, max_docs: int = 2_000, seed: int = 11) -> LanguageModel:
-    """Learns from ``text`` and non-null ``lang`` of at most about ``max_docs`` rows (documented bound), the same share of each language at most max_docs / languages where there are more."""
+    """Learns from ``text`` and non-null ``lang`` of at most about ``max_docs`` rows and some 256 MB of text (documented bounds), the same share of each language at most max_docs / languages where there are more."""
     labels = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     counts = {r["lang"]: r["count"] for r in labels.groupBy("lang").count().collect()}  # a row a language
     if not counts:
@@ -107,7 +106,9 @@ def fit(docs: DataFrame, max_docs: int = 2_000, seed: int = 11) -> LanguageModel
     each = max_docs / len(counts)
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, each / n))])
     mix = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(1_000_000))
-    return train(common.labelled_sample(docs, labels.where(mix < share[F.col("lang")] * 1_000_000), "lang", max_docs, seed=seed))
+    model = train(common.labelled_sample(docs, labels.where(mix < share[F.col("lang")] * 1_000_000), "lang", max_docs, seed=seed))
+    common.give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -51,8 +51,9 @@ class ToxicityModel:
     def bags(self, texts: list[bytes], strongest: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Text and logit of every bag; ``strongest``: of its highest n-gram of each size in place of the mean."""
         docs, values = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for a, b in common.chunks(texts):
-            buf, starts, doc = _bags(texts[a:b])
+        pieces, of = common.at_spaces(texts)  # a bag is a word, so no bag is cut
+        for a, b in common.chunks(pieces):
+            buf, starts, doc = _bags(pieces[a:b])
             if not len(starts):
                 continue
             total, count = np.zeros(len(buf), np.float32), np.zeros(len(buf), np.int32)
@@ -62,13 +63,13 @@ class ToxicityModel:
                     total[:] = 0
                     total[: len(ok)] = np.where(ok, self.logits[bucket], np.float32(0))
                     z += np.maximum.reduceat(total, starts) / len(SIZES)
-                docs.append(doc + a)
+                docs.append(of[doc + a])
                 values.append(z)
                 continue
             for bucket, ok in common.byte_ngrams(buf, SIZES, BITS):
                 total[: len(ok)] += np.where(ok, self.logits[bucket], np.float32(0))
                 count[: len(ok)] += ok
-            docs.append(doc + a)
+            docs.append(of[doc + a])
             values.append(np.add.reduceat(total, starts, dtype=np.float64) / np.maximum(np.add.reduceat(count, starts), 1) + self.bias)
         return np.concatenate(docs), np.concatenate(values)
 
@@ -150,8 +151,10 @@ def train(rows: list[tuple[str, int]], rounds: int = 2, seed: int = 7) -> Toxici
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6_000) -> ToxicityModel:
-    """Learns from at most about ``max_docs`` labelled rows (the documented bound), whole texts."""
-    return train(common.labelled_sample(docs, labels, "toxic", max_docs))
+    """Learns from at most ``max_docs`` labelled rows and about 256 MB of text (the documented bounds), whole texts."""
+    model = train(common.labelled_sample(docs, labels, "toxic", max_docs))
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:

@@ -50,6 +50,35 @@ def test_language_ignores_where_the_batch_is_cut(languages):
     assert np.allclose(one, each)
 
 
+def test_long_texts_are_scored_in_pieces(languages, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = " ".join(sample("de", 40, 5)) + "  " + "x" * 300 + " " + " ".join(sample("en", 5, 6))
+    whole = languages.predict([text, "das haus"])
+    pieces, of = common.at_spaces([text.encode(), b"", b" a "], 64)
+    assert b"".join([pieces[0], *(p[1:] for p, k in zip(pieces[1:], of[1:], strict=True) if k == 0)]).decode() == text and len(pieces) > 20
+    model = toxicity.ToxicityModel(rng.standard_normal(1 << toxicity.BITS).astype(np.float32), 0.1, 1.0, 0.0)
+    score = model.score([text, None])
+    cut = common.at_spaces
+    monkeypatch.setattr(common, "at_spaces", lambda t: cut(t, 64))
+    again = languages.predict([text, "das haus"])
+    assert again[0] == whole[0] and np.allclose(again[1], whole[1]) and np.allclose(model.score([text, None]), score)
+
+
+def test_memory_doesnt_grow_with_one_text(languages):
+    import tracemalloc
+
+    from passagemill.llm import windows
+
+    text = "das wasser und die nacht " * 800_000  # 20 MB
+    windows.hash_words(b"a b")  # tables that stay
+    tracemalloc.start()
+    for work, most in ((lambda: languages.predict([text]), 12), (lambda: windows.hash_words(text.encode()), 16)):
+        tracemalloc.reset_peak()
+        work()
+        assert tracemalloc.get_traced_memory()[1] < most * len(text)
+    tracemalloc.stop()
+
+
 def held_out_rows(spark, df, label):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     return df.join(labels, "doc_id").where("held_out").select("score", "predicted", label).collect()
