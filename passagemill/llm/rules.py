@@ -142,16 +142,13 @@ def learn(rows: list[tuple[dict, int]], columns: list[str] = SHARES, precision:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, seed: int = 23) -> list[Rule]:
-    """Learns from the statistics of at most about ``max_docs`` labelled rows (the documented bound); only numbers reach the driver."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("__y"))
-    n = known.count()
-    if not n:
-        return []
-    mix = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
-    chosen = known.withColumn("__mix", mix).where(F.col("__mix") < int(min(1.0, max_docs / n) * 1_000_000) + 1)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()
+    """Learns from the statistics of at most ``max_docs`` labelled rows (the documented bound); only numbers reach the driver."""
+    chosen = common.chosen_labels(labels, "quality", max_docs, seed).select("doc_id", F.col("y").alias("__y"), F.col("mix").alias("__mix"))
+    found = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    one = found.groupBy("__mix", "doc_id", "__y").agg(F.min(F.struct(*BASE, *SHARES)).alias("s"))  # one row an id
+    rows = one.select("__mix", "doc_id", "__y", "s.*").collect()
     rows.sort(key=lambda r: (r["__mix"], r["doc_id"], r["__y"]))
-    rows = [r for r in rows[: int(max_docs * 1.1) + 10] if not _failed(r)]
+    rows = [r for r in rows if not _failed(r)]
     return learn([({c: float(r[c]) for c in SHARES}, int(r["__y"])) for r in rows])
 
 
