@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PART = 1024
+#: Large buckets that are broadcast at most; more are joined.
+FEW_BUCKETS = 50_000
 _KEY = ["dim", "band", "key", "i", "j"]
 _ROW = "dim int, band int, key long, tid long, code binary, rounded binary, step float, factor float"
 _LEFT = "dim int, band int, key long, i long, j long, salt long, tid long, code binary"
@@ -116,26 +118,39 @@ def link(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-4, sure:
         x = x / np.abs(x).max(axis=1, keepdims=True)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def emit(batches):
+    def units(batches):
         for frame in batches:
             frame["dim"] = frame["e"].map(len)
             for dim, part in frame.groupby("dim"):
                 for at in range(0, len(part), 1024):
                     few = part.iloc[at : at + 1024]
-                    x = unit(np.stack(few["e"].tolist()))
-                    up, factor, keys = encode(x, turn_for(dim), bits, bands)
-                    rotated = x @ turn_for(dim)[:dim].T
-                    step = np.abs(rotated).max(axis=1) / 127
-                    rounded = [r.tobytes() for r in np.rint(rotated / step[:, None]).astype(np.int8)]
-                    code = [c.tobytes() for c in np.packbits(up[:, : max(dim, bits * bands)], axis=1)]
-                    for band in range(bands):
-                        yield pd.DataFrame({"dim": int(dim), "band": band, "key": keys[:, band].astype(np.int64), "tid": few["tid"].to_numpy(), "code": code, "rounded": rounded, "step": step.astype(np.float32), "factor": factor.astype(np.float32)})
-
-    coded = reps.select("tid", "e").mapInPandas(emit, _ROW).withColumn("salt", common.salt("tid"))
+                    yield int(dim), few["tid"].to_numpy(), unit(np.stack(few["e"].tolist()))
+
+    def keys_of(batches):
+        for dim, tid, x in units(batches):
+            _, _, keys = encode(x, turn_for(dim), bits, bands)
+            yield pd.DataFrame({"dim": dim, "band": np.tile(np.arange(bands), len(x)), "key": keys.astype(np.int64).ravel(), "tid": np.repeat(tid, bands)})
+
+    def emit(batches):
+        for dim, tid, x in units(batches):
+            up, factor, keys = encode(x, turn_for(dim), bits, bands)
+            rotated = x @ turn_for(dim)[:dim].T
+            step = np.abs(rotated).max(axis=1) / 127
+            rounded = [r.tobytes() for r in np.rint(rotated / step[:, None]).astype(np.int8)]
+            code = [c.tobytes() for c in np.packbits(up[:, : max(dim, bits * bands)], axis=1)]
+            for band in range(bands):
+                yield pd.DataFrame({"dim": dim, "band": band, "key": keys[:, band].astype(np.int64), "tid": tid, "code": code, "rounded": rounded, "step": step.astype(np.float32), "factor": factor.astype(np.float32)})
+
     bucket = ["dim", "band", "key"]
-    large = coded.groupBy(*bucket).agg(F.count("*").alias("m"), common.salts()).where(F.col("m") > PART)
+    found = reps.select("tid", "e").mapInPandas(keys_of, "dim int, band int, key long, tid long").withColumn("salt", common.salt("tid"))
+    large = found.groupBy(*bucket).agg(F.count("*").alias("m"), common.salts()).where(F.col("m") > PART).checkpoint()
+    coded = reps.select("tid", "e").mapInPandas(emit, _ROW)
+    if large.count() <= FEW_BUCKETS:  # a table of known size
+        met = coded.join(F.broadcast(large.drop("salts")), bucket, "left")
+    else:
+        met = coded.withColumn("salt", common.salt("tid")).join(common.by_salt(large), [*bucket, "salt"], "left")
     parts = F.coalesce(F.ceil(F.col("m") / PART), F.lit(1))
-    dealt = coded.join(common.by_salt(large), [*bucket, "salt"], "left").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("tid"), F.col("parts")))
+    dealt = met.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("tid"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).drop("other", "m", "parts")
 

@@ -47,8 +47,10 @@ def found_links(df):
     return sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in df.collect())
 
 
-def test_links_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_links_equal_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(vectors, "PART", 40)  # buckets are split
+    monkeypatch.setattr(vectors, "FEW_BUCKETS", few)
     rng = np.random.default_rng(1)
     rows = []
     for g in range(12):
