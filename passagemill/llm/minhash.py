@@ -38,7 +38,7 @@ from . import common, windows
 
 K, ROWS = 80, 4
 #: Documents, and shingles, of a part of a bucket: what a task holds is bounded by two parts.
-PART, PART_SHINGLES = 512, 500_000
+PART, PART_SHINGLES = 256, 250_000
 #: Pairs that are compared at once.
 PAIRS = 1 << 15
 
