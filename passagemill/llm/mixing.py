@@ -94,10 +94,12 @@ def spans(docs: DataFrame, seed: int = 17, block: int = 64, share: float = 1.5,
     sources = cells.groupBy("key").agg(F.sum("blocks").alias("all_blocks")).join(goal, "key")
     sources = sources.withColumn("most", 2 * F.col("all_blocks")).withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("all_blocks") / F.col("source_size")).otherwise(0.0))
     total = F.round(F.sum("votes").over(Window.partitionBy(F.lit(1)))).cast("long")
-    quotas = seats(sources.withColumn("n", total), "votes", "most", F.col("n"), ["n"]).select("key", "source_size", "target", "all_blocks", F.col("quota").alias("source_quota"))
-    cells = cells.join(quotas, "key").withColumn("most", 2 * F.col("blocks"))
+    # the tables of sources and cells are small and read more than once: each is made once, so that plans stay short
+    sources = sources.withColumn("n", total).checkpoint()
+    quotas = seats(sources, "votes", "most", F.col("n"), ["n"]).select("key", "source_size", "target", "all_blocks", F.col("quota").alias("source_quota"))
+    cells = cells.join(quotas, "key").withColumn("most", 2 * F.col("blocks")).checkpoint()
     cells = cells.withColumn("votes", F.when(F.col("all_blocks") > 0, F.col("source_quota") * F.col("blocks") / F.col("all_blocks")).otherwise(0.0))
-    cells = seats(cells, "votes", "most", F.col("source_quota"), ["key"]).select("key", "shard", "words", "blocks", "quota", "source_size", "target")
+    cells = seats(cells, "votes", "most", F.col("source_quota"), ["key"]).select("key", "shard", "words", "blocks", "quota", "source_size", "target").checkpoint()
     tape = Window.partitionBy("key", "shard").orderBy("mix", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = small.withColumn("s", F.coalesce(F.sum("size").over(tape), F.lit(0))).withColumn("e", F.col("s") + F.col("size")).join(cells, ["key", "shard"])
     once_more = F.when(F.col("blocks") > 0, F.expr("quota % blocks")).otherwise(0)
