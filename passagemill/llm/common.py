@@ -34,6 +34,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch.base(spark))
 
 
+#: Spark removes the shuffle files of an action when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession):
+    """Frames that are made within leave no shuffle files after an action; else these stay until the driver collects garbage."""
+    before = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder; the shuffle files of making it go at once."""
+    with freed(df.sparkSession):
+        return df.select("*").checkpoint()  # a frame of its own, as Spark reads the setting where a frame is made
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -243,26 +264,33 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of ``edges(a, b)``: the smallest id that links reach.
 
-    Alternating large-star / small-star steps; every step is checkpointed in the shared
-    folder, so a lost executor costs one step. Only counts and sums reach the driver.
+    Alternating large-star / small-star steps, until every id hangs on one smaller id that
+    hangs on none; every step is checkpointed in the shared folder, so a lost executor costs
+    one step, and what it shuffled is freed. Nothing but whether it is done reaches the driver.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
 
+    def both_ways(pairs: DataFrame, there, back) -> DataFrame:
+        return pairs.select(F.inline(F.array(F.struct(*there), F.struct(*back))))
+
     def star(pairs: DataFrame, large: bool) -> DataFrame:
-        ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
+        ends = both_ways(pairs, ["a", "b"], [F.col("b").alias("a"), F.col("a").alias("b")]) if large else pairs
         least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         both = ends.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k"))
-        moved = both.where(F.col("b") > F.col("a")) if large else both
-        out = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if not large:
-            out = out.union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before, now = None, ()
-    while now != before:  # until a round changes nothing
-        pairs = star(star(pairs, True), False).checkpoint()
-        before, now = now, pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    lows = pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(lows).groupBy("id").agg(F.min("component").alias("component"))
+        moved = [F.col("b").alias("a"), F.col("m").alias("b")]
+        out = both.where(F.col("b") > F.col("a")).select(*moved) if large else both_ways(both, moved, ["a", F.col("m").alias("b")])
+        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    def done(pairs: DataFrame) -> bool:
+        one, none = F.lit(1), F.lit(0)
+        ends = both_ways(pairs, [F.col("a").alias("id"), one.alias("up"), none.alias("down")], [F.col("b").alias("id"), none.alias("up"), one.alias("down")])
+        with freed(spark):
+            return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+    pairs = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not done(pairs):
+        # a large step gives no more rows than it gets, so only the small one's are made distinct
+        pairs = settled(star(star(pairs, True), False).distinct())
+    ids = both_ways(pairs, [F.col("a").alias("id"), F.col("b").alias("component")], [F.col("b").alias("id"), F.col("b").alias("component")])
+    return ids.groupBy("id").agg(F.min("component").alias("component"))

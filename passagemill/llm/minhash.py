@@ -220,7 +220,7 @@ def _stars(stars: DataFrame, known: DataFrame, sets: DataFrame, threshold: float
                 ok[i] = similarity(*_set(v[x], w[x]), *head) >= threshold
             yield pa.RecordBatch.from_arrays([pa.array(rep[a[ok]]), pa.array(rep[b[ok]])], names=["a", "b"])
 
-    pairs = dealt(stars, known.select("tid", "n", "sig")).mapInArrow(likely, "tid long, leader long").checkpoint()
+    pairs = common.settled(dealt(stars, known.select("tid", "n", "sig")).mapInArrow(likely, "tid long, leader long"))
     return dealt(pairs, sets).mapInArrow(exact, "a long, b long")
 
 
@@ -362,11 +362,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K,
     signed = copies.mapInPandas(sign, "k1 long, k2 long, doc_id long, n long, bands array<long>, sig binary")
     reps = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     # a distinct text has a number of its own, as one doc_id may have several; it is fixed by the checkpoint
-    reps = reps.withColumn("tid", F.monotonically_increasing_id()).checkpoint()
+    reps = common.settled(reps.withColumn("tid", F.monotonically_increasing_id()))
     known = reps.select("tid", "rep", "n", "sig")
     banded = reps.select("tid", F.posexplode("bands").alias("band", "h")).withColumn("salt", common.salt("tid"))
     shared = banded.groupBy("band", "h").agg(F.count("*").alias("c"), F.min("tid").alias("leader"), common.salts()).where("c > 1").drop("c")
-    members = banded.join(common.by_salt(shared), ["band", "h", "salt"]).checkpoint()
+    members = common.settled(banded.join(common.by_salt(shared), ["band", "h", "salt"]))
     needed = members.select("tid").distinct().join(reps.select("tid", "k1", "k2", "rep"), "tid")
 
     def hashed(batches):
@@ -379,14 +379,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, k: int = K,
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in ("tid", "rep")), sets, scales], names=["tid", "rep", "v", "w"])
 
     texts = keyed.where("fine").select(F.col("doc_id").alias("rep"), "k1", "k2", F.col("text").cast("binary").alias("text")).join(needed, ["rep", "k1", "k2"])
-    sets = texts.select("tid", "rep", "text").mapInArrow(hashed, "tid long, rep long, v binary, w binary").dropDuplicates(["tid"]).checkpoint()
-    own = keyed.where("fine").select("doc_id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep").checkpoint()
-    stars = members.where("tid <> leader").select("tid", "leader").distinct().checkpoint()
-    links = _stars(stars, known, sets, threshold, k).union(_of_one_id(own)).checkpoint()
-    found = common.connected_components(links).checkpoint()
-    more = _across(members.drop("leader"), known, found, sets, threshold, k, rows).checkpoint()
+    sets = common.settled(texts.select("tid", "rep", "text").mapInArrow(hashed, "tid long, rep long, v binary, w binary").dropDuplicates(["tid"]))
+    own = common.settled(keyed.where("fine").select("doc_id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep"))
+    stars = common.settled(members.where("tid <> leader").select("tid", "leader").distinct())
+    links = common.settled(_stars(stars, known, sets, threshold, k).union(_of_one_id(own)))
+    found = common.settled(common.connected_components(links))
+    more = common.settled(_across(members.drop("leader"), known, found, sets, threshold, k, rows))
     if not more.isEmpty():
-        found = common.connected_components(links.union(more)).checkpoint()
+        found = common.settled(common.connected_components(more.union(found)))  # found: (id, smallest id) of what is joined so far
     good = own.join(found, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     alone = keyed.where("not fine").select("doc_id", F.col("doc_id").alias("class_id"))
     return good.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))

@@ -174,6 +174,19 @@ def test_components(spark):
     assert common.connected_components(edges.where("false")).count() == 0
 
 
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(8)
+    for ends, links in ((40, 30), (200, 150), (60, 200)):
+        rows = [(int(a), int(b)) for a, b in rng.integers(-ends, ends, (links, 2))]
+        low = {x: x for a, b in rows if a != b for x in (a, b)}
+        for _ in low:
+            for a, b in rows:
+                if a != b:
+                    low[a] = low[b] = min(low[a], low[b])
+        out = common.connected_components(spark.createDataFrame(rows + rows[:9], "a bigint, b bigint")).collect()
+        assert sorted((r["id"], r["component"]) for r in out) == sorted(low.items())
+
+
 def test_long_texts_are_training_rows(spark):
     docs = spark.createDataFrame([(i, "palabra " * 20_000 if i % 2 else "word " * 20) for i in range(10)], "doc_id bigint, text string")
     labels = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 1, "es").otherwise("en").alias("y"))

@@ -1,6 +1,7 @@
 """Operators 2 and 9 against brute force."""
 
 import math
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from fixtures import SF, edge_docs, empty_docs
 from pyspark.sql import functions as F
 
-from passagemill.llm import minhash, queries, vectors
+from passagemill.llm import common, minhash, queries, vectors
 
 
 class Sets:
@@ -151,6 +152,21 @@ def test_op9_equals_brute_force(spark):
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in out) == brute_classes(rows)
 
 
+def test_near_dedup_leaves_no_shuffle_files(spark):
+    def left():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    minhash.classes(docs)
+    before, setting = left(), spark.conf.get(common.FREE)
+    minhash.classes(docs)  # what it needs on the way is made now, the result by its reader
+    end = time.time() + 10
+    while (more := left() - before) and time.time() < end:  # Spark removes them in the background
+        time.sleep(0.2)
+    assert not more and spark.conf.get(common.FREE) == setting == "false"
+
+
 def test_signature_agreement_is_the_weighted_similarity():
     rng = np.random.default_rng(2)
     values = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
