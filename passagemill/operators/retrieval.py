@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.text import let
 
 CUTS = (1, 2, 5, 10, 20)
 
@@ -72,11 +73,14 @@ def top_k(questions: DataFrame, corpus: DataFrame, k: int = 20, by: tuple[str, .
 ANCHOR = 3
 
 
-def _runs(words: Column) -> Column:
-    """(characters, number) of every run of ANCHOR words."""
-    at = lambda i: [F.get(words, i + k) for k in range(ANCHOR)]
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - ANCHOR), lambda i: F.struct(F.length(F.concat(*at(i))).alias("chars"), F.xxhash64(*at(i)).alias("run")))
-    return F.when(F.size(words) >= ANCHOR, runs)
+def _runs(words: Column, run) -> Column:
+    """``run(words of the run)`` of every run of ANCHOR words; null where there are fewer. The text is split once, not in each turn of the loop."""
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - ANCHOR), lambda i: run(*[F.get(w, i + k) for k in range(ANCHOR)]))
+        return F.when(F.size(w) >= ANCHOR, runs)
+
+    return let(words, of)
 
 
 def containing(texts: DataFrame, golds: DataFrame, text: str = "text", chunk: str = "chunk_id", gold: str = "item_id", blocks: int = 1) -> DataFrame:
@@ -88,11 +92,12 @@ def containing(texts: DataFrame, golds: DataFrame, text: str = "text", chunk: st
     """
     words = lambda c: F.split(c, r"\s+")
     known = golds.where("passage is not null").select(gold, F.lower("passage").alias("__p"))
-    inner = F.slice(words("__p"), F.lit(2), F.greatest(F.lit(0), F.size(words("__p")) - 2))
-    known = known.withColumn("__run", F.array_max(_runs(inner))["run"])
+    inner = let(words("__p"), lambda w: F.slice(w, F.lit(2), F.greatest(F.lit(0), F.size(w) - 2)))
+    longest = F.array_max(_runs(inner, lambda *w: F.struct(F.length(F.concat(*w)).alias("chars"), F.xxhash64(*w).alias("run"))))
+    known = known.withColumn("__run", longest["run"])
     lowered = texts.where(F.col(text).isNotNull()).select(chunk, F.lower(text).alias("__text"))
     anchors = known.where("__run is not null")
-    runs = lowered.select(chunk, F.explode(F.array_distinct(F.transform(_runs(words("__text")), lambda x: x["run"]))).alias("__run"))
+    runs = lowered.select(chunk, F.explode(F.array_distinct(_runs(words("__text"), F.xxhash64))).alias("__run"))
     met = runs.join(anchors.select(gold, "__run"), "__run").select(chunk, gold).distinct()
     found = met.join(lowered, chunk).join(anchors.select(gold, "__p"), gold).where(F.contains("__text", "__p")).select(chunk, gold)
     gathered = known.where("__run is null").groupBy(F.pmod(F.xxhash64(gold), F.lit(blocks))).agg(F.collect_list(F.struct(F.col(gold), F.col("__p").alias("p"))).alias("__gs"))

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,15 @@ def test_scores_rise_with_k_and_stay_in_bounds(spark):
         for c in ("dcg", "recall"):
             assert [r[c] for r in own] == sorted(r[c] for r in own)
         assert all(0 <= r["dcg"] <= r["recall"] <= 1 for r in own)
+
+
+def test_passages_are_found_in_long_texts(spark):
+    long = " ".join(f"W{i}" for i in range(20_000))
+    texts = [long, long.replace("W7001 ", ""), "a W7000 b", None]
+    golds = ["w6999 W7000 w7001 w7002 w7003", "7000 W7001 w70", "W7000", "\u00e9", None]
+    t = spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string")
+    g = spark.createDataFrame(list(enumerate(golds)), "item_id bigint, passage string")
+    begun = time.monotonic()
+    found = {(r["item_id"], r["chunk_id"]) for r in retrieval.containing(t, g).collect()}
+    assert found == {(i, j) for i, p in enumerate(golds) for j, x in enumerate(texts) if p and x and p.lower() in x.lower()}
+    assert time.monotonic() - begun < 60  # a split in each turn of the loop takes minutes
