@@ -1,10 +1,12 @@
 import math
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from passagemill import models
+from passagemill.functions import vectors as V
 from passagemill.operators import embed, questions, retrieval, splitters
 from passagemill.plans import ask, evaluate
 
@@ -133,3 +135,44 @@ def test_passages_are_found_in_long_texts(spark):
     found = {(r["item_id"], r["chunk_id"]) for r in retrieval.containing(t, g).collect()}
     assert found == {(i, j) for i, p in enumerate(golds) for j, x in enumerate(texts) if p and x and p.lower() in x.lower()}
     assert time.monotonic() - begun < 60  # a split in each turn of the loop takes minutes
+
+
+def odd_vectors(spark):
+    nan = float("nan")
+    rows = [(i % 3, i, [math.sin(i), math.cos(i * i)]) for i in range(40)] + [(i % 3, 40 + i, [0.5, 0.5]) for i in range(6)]
+    rows += [(0, 50, None), (1, 51, [1.0, None]), (1, 52, [1.0]), (2, 53, [nan, 1.0]), (None, 54, [1.0, 1.0]), (0, 55, []), (2, None, [0.1, 0.2]), (0, 56, [math.inf, -1.0])]
+    corpus = spark.createDataFrame(rows, "book_id bigint, chunk_id bigint, embedding array<double>").coalesce(1)
+    return corpus, corpus.where("chunk_id % 3 = 0 or chunk_id > 49").select("book_id", F.col("chunk_id").alias("q_idx"), F.col("embedding").alias("q_vec"))
+
+
+@pytest.mark.parametrize("by", [(), ("book_id",)])
+def test_best_of_blocks_are_the_best(spark, monkeypatch, by):
+    monkeypatch.setattr(retrieval, "BEST_BLOCK", (7, 4))
+    corpus, asked = odd_vectors(spark)
+    rows = lambda t: sorted(map(repr, t.select("q_idx", "chunk_id", "score", "rank").collect()))
+    assert rows(retrieval.top_k(asked, corpus, 9, by)) == rows(retrieval.top_k(asked, corpus, 9, by, score=V.dot("q.q_vec", "embedding")))
+
+
+def test_all_pairs_have_their_score(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIR_BLOCK", (7, 4))
+    corpus, asked = odd_vectors(spark)
+    got = retrieval.all_scores(asked, corpus).select("q_idx", "chunk_id", "score").collect()
+    want = asked.crossJoin(corpus).select("q_idx", "chunk_id", F.round(V.dot("q_vec", "embedding"), 9).alias("score")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_one_partition_and_one_book_are_dealt_to_blocks(spark):
+    corpus = spark.range(4000).coalesce(1).select(F.lit(1).cast("long").alias("book_id"), F.col("id").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding"))
+    asked = corpus.where("chunk_id < 100").select("book_id", F.col("chunk_id").alias("q_idx"), F.col("embedding").alias("q_vec"))
+
+    def sizes(rows, questions):
+        return pa.table({"book_id": [rows.num_rows], "q_idx": [questions.num_rows], "chunk_id": [0], "score": [0.0]})
+
+    met = retrieval.meet(asked, corpus, sizes, ("book_id",), "q_idx", "chunk_id", (200, 30)).collect()
+    assert len(met) == 80 and sum(r["book_id"] * r["q_idx"] for r in met) == 400_000
+    assert max(r["book_id"] for r in met) < 400 and max(r["q_idx"] for r in met) < 60
+
+
+def test_rounding_is_that_of_sql():
+    assert V.rounded(V.np.array([0.5e-1, 2.5, -2.5, 1e300, -0.01]), 0).tolist() == [0.0, 3.0, -3.0, 1e300, 0.0]
+    assert math.copysign(1, V.rounded(V.np.array([-1e-12]), 9)[0]) == 1
