@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +42,34 @@ def books_of_paragraphs(rows: DataFrame) -> DataFrame:
     return packed.select("book_id", F.transform("p", lambda x: x["text"]).alias("texts"), F.transform("p", lambda x: x["chapter"]).alias("chapters"))
 
 
+#: Rows and bytes that are Python objects at once; a row above that is alone.
+SLICE_ROWS, SLICE_BYTES = 64, 256 << 10
+
+
+def slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """The batch in runs of rows of a bounded size; together they are all of its rows, in order."""
+    at = 0
+    while at < len(batch):
+        n = SLICE_ROWS
+        while n > 1 and batch.slice(at, n).nbytes > SLICE_BYTES:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
 def exact_tokens(rows: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Adds exact_tokens, counted by a tokenizer file that every executor finds at the path ``vocabulary``; null for a null text."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
         encode = Tokenizer.from_file(vocabulary).encode_batch
-        for texts in batches:
-            known = texts.notna()
-            counts = [len(e.ids) for e in encode(texts[known].tolist(), add_special_tokens=False)]
-            yield pd.Series(counts, index=texts.index[known], dtype="Int64").reindex(texts.index)
+        for batch in batches:
+            for texts in slices(batch):
+                known = iter(encode([x for x in texts.to_pylist() if x is not None], add_special_tokens=False))
+                yield pa.array([len(next(known).ids) if x else None for x in texts.is_valid().to_pylist()], pa.int64())
 
-    return rows.withColumn("exact_tokens", F.pandas_udf(run, "long")(text))
+    return rows.withColumn("exact_tokens", F.arrow_udf(run, "long")(text))
 
 
 def tagged(rows: DataFrame) -> DataFrame:

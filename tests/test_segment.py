@@ -228,3 +228,35 @@ def test_exact_token_counts(spark):
     slow = Tokenizer.from_file(path)
     want = [None if t is None else len(slow.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [r["exact_tokens"] for r in paragraphs.exact_tokens(rows, path).orderBy("i").collect()] == want
+
+
+def test_few_rows_are_python_objects_at_once():
+    import pyarrow as pa
+
+    texts = [None if i % 7 == 0 else "x" * (3 * i) for i in range(1000)] + ["y" * (1 << 20)] * 3
+    for batch in (pa.array(texts), pa.array([t and [t] for t in texts])):
+        parts = list(paragraphs.slices(batch))
+        assert pa.concat_arrays(parts).equals(batch)
+        assert all(len(p) <= paragraphs.SLICE_ROWS and (len(p) == 1 or p.nbytes <= paragraphs.SLICE_BYTES) for p in parts)
+    assert not list(paragraphs.slices(pa.array([], pa.string())))
+
+
+def test_a_large_batch_is_walked_and_counted_in_parts(spark, monkeypatch):
+    import public_tokenizers
+
+    class Lone(models.LexicalModel):
+        """Counts the frames that hold a list of more than SLICE_ROWS books while it is called."""
+
+        def complete(self, prompt):
+            import sys
+
+            frame, most = sys._getframe(), 0
+            while frame := frame.f_back:
+                most = max([most, *(len(v) for v in frame.f_locals.values() if isinstance(v, (list, tuple)) or type(v).__name__ == "Series")])
+            return f"Answer: ID {most}"
+
+    docs = spark.range(1000).coalesce(1).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("a b c"), 8), "\n").alias("text"))
+    replies = boundaries.reply_log(boundaries.ask(paragraphs.books_of_documents(docs), Lone(), mode="compat", most=1)).select("reply").distinct().collect()
+    assert all(int(r["reply"].split()[-1]) <= 100 for r in replies)
+    counted = paragraphs.exact_tokens(docs.withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.col("text"))), public_tokenizers.path("byte_bpe_50k.json"))
+    assert {(r["doc_id"] % 3 > 0, r["exact_tokens"] is not None) for r in counted.collect()} == {(True, True), (False, False)}
