@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import text as T
 from . import prompts
+from .paragraphs import slices
 
 #: A step of the walk as it is logged.
 STEP = "struct<start_idx:bigint,shown:bigint,prompt_hash:string,reply:string,status:string,boundary:bigint>"
+STEPS = pa.list_(pa.struct({"start_idx": pa.int64(), "shown": pa.int64(), "prompt_hash": pa.string(), "reply": pa.string(), "status": pa.string(), "boundary": pa.int64()}))
+STEP_NAMES = [f.name for f in STEPS.value_type]
 _WORDS = regex.compile(r"[^\s\x1c-\x1f]+")
 _REPLY, _DIGITS = regex.compile(r"Answer: ID (\w+)"), regex.compile(r"\d+")
 
@@ -171,17 +174,18 @@ def ask(books: DataFrame, model: models.BoundaryModel, replies: DataFrame | None
     else:
         t = books.withColumn("__had", F.lit(None).cast("array<struct<start_idx:bigint,prompt_hash:string,reply:string>>"))
 
-    def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         call = models.ready(model)
-        for texts, known in frames:
-            out = []
-            for rows, old in zip(texts, known, strict=True):
-                cached = {(int(r["start_idx"]), r["prompt_hash"]): r["reply"] for r in old} if old is not None else {}
-                steps = walk([x or "" for x in rows], call, mode, repeats, most, cached)
-                out.append([dict(zip(("start_idx", "shown", "prompt_hash", "reply", "status", "boundary"), s, strict=True)) for s in steps])
-            yield pd.Series(out)
-
-    walked = F.pandas_udf(run, had)
+        for texts, known in batches:
+            for part in slices(pa.StructArray.from_arrays([texts, known], ["texts", "known"])):
+                out = []
+                for rows, old in zip(part.field("texts").to_pylist(), part.field("known").to_pylist(), strict=True):
+                    cached = {(int(r["start_idx"]), r["prompt_hash"]): r["reply"] for r in old} if old is not None else {}
+                    steps = walk([x or "" for x in rows], call, mode, repeats, most, cached)
+                    out.append([dict(zip(STEP_NAMES, s, strict=True)) for s in steps])
+                yield pa.array(out, STEPS)
+
+    walked = F.arrow_udf(run, had)
     t = t.withColumn("n", F.size("texts").cast("long")).withColumn("steps", walked("texts", "__had")).drop("__had")
     return t.withColumn("boundaries", F.transform(F.filter("steps", lambda s: s["status"] == "ok"), lambda s: s["boundary"]))
 
